@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, compression_classifier, mixing, quality_rules, sharding, simhash, url_filter, warc
+from millrace.llm import chat, compression_classifier, decontaminate, mixing, pii, quality_rules, sharding, simhash, url_filter, warc
 from millrace.llm.common import scratch_path, table
 
 #: Labels may be learned from where the CRC of the id's digits, modulo HELD_OUT_OF, is not this remainder.
@@ -56,16 +56,30 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.rules_frame(spark, URL_RULES)).drop("url")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document and benchmark item found in it."""
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("found", lambda s: s["kind"] != "id")
+    count_of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count_of(k) for k in pii.KINDS if k != "id"]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_compression_classifier, op4_chat_windows, op5_warc, op6_url_filter, op8_sharding, op10_mixing)
+    f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_compression_classifier, op4_chat_windows, op5_warc, op6_url_filter, op7_decontamination, op8_sharding, op9_personal_data, op10_mixing)
 }
 ORACLE_SQL: dict[str, str] = {}
