@@ -9,6 +9,7 @@ over the documents in their own partitions, without a shuffle.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 
 LEVEL = 3
 BLOCK = 512
-DICTIONARY_BYTES = 16_384
+DICTIONARY_BYTES = 112_640
 THRESHOLD = 0.7
 
 
@@ -30,7 +31,7 @@ class Sample:
     """Bounds of the training sample: texts per class for the dictionaries, texts per class to fit the curve, and the
     bytes of a text that a dictionary is built from. Rows are taken in the order of a hash of their id."""
 
-    dictionary_texts: int = 1000
+    dictionary_texts: int = 2000
     curve_texts: int = 2000
     dictionary_text_bytes: int = 8192
 
@@ -103,6 +104,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     bad, good = (_dictionary(x, DICTIONARY_BYTES) for x in texts)
     measured = _with_difference(chosen.where("_half = 1").select("_y", "_order", "_text"), "_text", good, bad).select("_y", "_order", "_d").orderBy("_order", "_d").limit(2 * sample.curve_texts).collect()
     intercept, slope = _fit_curve(np.array([r["_d"] for r in measured], float), np.array([r["_y"] for r in measured], float))
+    # The sample has as many of either class as there are, up to its bound; the labels' own odds take its place.
+    whole, part = ({y: 1 + n for y, n in x} for x in (clean.groupBy("_y").count().collect(), Counter(r["_y"] for r in measured).items()))
+    if slope and len(whole) == 2:
+        intercept += float(np.log(whole[1] / whole[0] * part[0] / part[1]))
     return Model(good, bad, intercept, slope)
 
 
