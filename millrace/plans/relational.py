@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.vectors import dot
+from millrace.operators import joins
+from millrace.operators.sessions import sessionize
 from millrace.sources.tables import table
+from millrace.streaming import windows
 
 
 def star_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +28,74 @@ def star_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"star_revenue": star_revenue}
+def _sql(text: str):
+    """A query from Spark SQL over views of the tables it names."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views = {name: table(spark, sf_dir, name) for name in TABLES if name in text}
+        return spark.sql(text.format(**{n: "{" + n + "}" for n in views}), **views)
+
+    return run
+
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+def asof_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each error event, the value of the user's last purchase so far."""
+    events = table(spark, sf_dir, "events")
+    purchases = events.where("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("last_value"))
+    errors = events.where("event_type = 'error'").select("event_id", "user_id", "ts")
+    return joins.asof_join(errors, purchases, ["user_id"], "ts", ["last_value"]).select("event_id", "last_value")
+
+
+def size_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by price band, a range join."""
+    bands = spark.createDataFrame([(k, 250.0 * k, 250.0 * (k + 1)) for k in range(12)], "band int, low double, high double")
+    return joins.range_join(table(spark, sf_dir, "part"), bands, "p_retailprice", "low", "high", 250.0).groupBy("band").agg(F.count("*").alias("n"))
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions per user with gaps of up to six hours."""
+    found = sessionize(table(spark, sf_dir, "events"), "user_id", "ts", 6 * 3600)
+    return found.groupBy("user_id").agg(F.max("session_no").cast("long").alias("n_sessions"), F.count("*").alias("n_events"))
+
+
+def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dot product of every vector with the one of id 0, which the driver reads."""
+    v = table(spark, sf_dir, "embeddings")
+    first = v.where("vec_id = 0").select("embedding").first()[0]
+    query = F.array(*[F.lit(float(x)) for x in first])
+    return v.select("vec_id", F.round(dot(F.col("embedding"), query), 6).alias("similarity"))
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts by event type."""
+    counted = windows.windowed_counts(table(spark, sf_dir, "events"), windows.tumbling("1 day"))
+    return counted.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+#: Spark SQL and DuckDB SQL alike; table names in braces for Spark.
+SHARED = {
+    "pricing_summary": """select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, round(avg(l_discount), 6) as avg_disc, count(*) as n
+from {lineitem} where l_shipdate <= timestamp '1999-09-02' group by l_returnflag, l_linestatus""",
+    "orders_with_returns": "select o_orderpriority, count(*) as n from {orders} where exists (select 1 from {lineitem} where l_orderkey = o_orderkey and l_returnflag = 'R') group by o_orderpriority",
+    "customers_without_orders": "select c_custkey from {customer} where not exists (select 1 from {orders} where o_custkey = c_custkey)",
+    "above_average_balance": "select c_custkey from {customer} c where c_acctbal > (select avg(c_acctbal) from {customer} d where d.c_nationkey = c.c_nationkey)",
+    "top_parts_per_supplier": """select l_suppkey, l_orderkey, l_linenumber, l_partkey, l_extendedprice, cast(rn as bigint) as rn from (
+select *, row_number() over (partition by l_suppkey order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey) as rn from {lineitem}) x where rn <= 3""",
+    "running_order_totals": "select o_orderkey, round(sum(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows between unbounded preceding and current row), 2) as so_far from {orders}",
+    "rollup_orders": "select o_orderstatus, o_orderpriority, count(*) as n, cast(grouping(o_orderstatus) + grouping(o_orderpriority) as bigint) as g from {orders} group by rollup (o_orderstatus, o_orderpriority)",
+    "cube_lines": "select l_returnflag, l_linestatus, count(distinct l_suppkey) as suppliers, count(*) as n from {lineitem} group by cube (l_returnflag, l_linestatus)",
+    "customers_or_suppliers": "select c_nationkey as k from {customer} intersect select s_nationkey from {supplier}",
+    "nations_without_suppliers": "select n_nationkey as k from {nation} except select s_nationkey from {supplier}",
+    "balance_statistics": "select c_mktsegment, round(avg(c_acctbal), 4) as mean, round(stddev_samp(c_acctbal), 4) as sd, round(median(c_acctbal), 4) as med, min(c_acctbal) as low, max(c_acctbal) as high from {customer} group by c_mktsegment",
+    "outer_join_counts": "select n_name, count(s_suppkey) as suppliers from {nation} left join {supplier} on s_nationkey = n_nationkey group by n_name",
+    "name_functions": "select p_partkey, upper(p_name) as u, replace(p_name, ' ', '-') as r, cast(length(p_name) as bigint) as n, substring(p_brand, 2, 3) as b, coalesce(nullif(p_type, p_brand), '') as t from {part}",
+    "case_buckets": "select case when p_size < 10 then 'small' when p_size < 30 then 'medium' else 'large' end as size, count(*) as n, round(sum(p_retailprice), 2) as price from {part} group by 1",
+}
+
+QUERIES = {"star_revenue": star_revenue, "asof_price": asof_price, "size_bands": size_bands, "sessions": sessions, "vector_pairs": vector_pairs, "event_windows": event_windows} | {n: _sql(t) for n, t in SHARED.items()}
 ORACLE_SQL = {
     "star_revenue": """
 select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue
@@ -33,5 +104,12 @@ join supplier on l_suppkey = s_suppkey and c_nationkey = s_nationkey
 join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey
 where r_name = 'ASIA' and o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1998-01-01'
 group by n_name
-"""
-}
+""",
+    "asof_price": """select e.event_id, p.last_value from (select event_id, user_id, ts from events where event_type = 'error') e
+asof left join (select user_id, ts, value as last_value from events where event_type = 'purchase') p on e.user_id = p.user_id and e.ts >= p.ts""",
+    "size_bands": "select cast(floor(p_retailprice / 250) as int) as band, count(*) as n from part where p_retailprice >= 0 and p_retailprice < 3000 group by 1",
+    "sessions": """select user_id, cast(sum(new) as bigint) as n_sessions, count(*) as n_events from (select user_id, case when lag(ts) over w is null or ts > lag(ts) over w + interval 6 hours then 1 else 0 end as new
+from events window w as (partition by user_id order by ts)) x group by user_id""",
+    "vector_pairs": "select v.vec_id, round(list_dot_product(v.embedding::double[], q.embedding::double[]), 6) as similarity from embeddings v, (select embedding from embeddings where vec_id = 0) q",
+    "event_windows": "select date_trunc('day', ts)::timestamp as day, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
+} | {n: t.replace("{", "").replace("}", "") for n, t in SHARED.items()}
