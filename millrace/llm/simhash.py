@@ -76,10 +76,9 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def _forest(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """(point, smallest linked point) for points that are linked within the radius, by way of others too."""
-    label = np.arange(len(points))
+    label, bits = np.arange(len(points)), points.view(np.uint64)
     if len(points) == 2:
-        return [(int(points[1]), int(points[0]))] if int(points[0] ^ points[1]).bit_count() <= radius else []
-    bits = points.view(np.uint64)
+        return [(int(points[1]), int(points[0]))] if int(bits[0] ^ bits[1]).bit_count() <= radius else []
     while True:
         new = label.copy()
         for at in range(0, len(bits), 512):
