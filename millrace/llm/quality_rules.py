@@ -23,8 +23,9 @@ SYMBOLS = "#*$%&|<>"
 BUCKETS = 1 << 15
 #: A kept document's mean log ratio per n-gram, at least.
 THRESHOLD = -0.06
-#: Added to every bucket's count, so that an unseen n-gram has a finite ratio.
-SMOOTHING = 1.0
+#: n-grams per bucket that the trusted counts get in the corpus's own proportions: where few are known, ratios go to 0
+#: and documents are left alone.
+SMOOTHING = 16.0
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 #: Repeated windows of a text that are looked up one by one.
@@ -74,8 +75,9 @@ def ngram_log_ratios(
         raw[r.bucket], target[r.bucket] = r.n, r.n_trusted
     if not sum(target):
         return [0.0] * buckets
-    shift = math.log((sum(raw) + smoothing * buckets) / (sum(target) + smoothing * buckets))
-    return [round(math.log((t + smoothing) / (r + smoothing)) + shift, 5) for r, t in zip(raw, target, strict=True)]
+    added, all_raw, all_target = smoothing * buckets, sum(raw), sum(target)
+    ratio = lambda r, t: (t * all_raw / r + added) / (all_target + added)
+    return [round(math.log(ratio(r, t)), 5) if r else 0.0 for r, t in zip(raw, target, strict=True)]
 
 
 def quality_rules(
