@@ -82,4 +82,37 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_compression_classifier, op4_chat_windows, op5_warc, op6_url_filter, op7_decontamination, op8_sharding, op9_personal_data, op10_mixing)
 }
-ORACLE_SQL: dict[str, str] = {}
+_OP5 = """
+with d as (select page_id, coalesce(html, '') as payload from pages),
+g as (select payload, max(page_id) as of from d group by payload)
+select page_id, cast(octet_length(encode(d.payload)) as bigint) as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    cast(1 + ((('0x' || substr(sha1(d.payload), cast((i // 4) * 5 + 1 as int), 5))::int >> cast(15 - 5 * (i % 4) as int)) & 31) as int), 1)), '') as payload_digest,
+  case when page_id = of then 'response' else 'revisit' end as record_type, case when page_id <> of then of end as refers_to
+from d join g on d.payload = g.payload
+"""
+_OP6 = """
+with r(verdict, host, path) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+u as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
+f as (select u.page_id, max_by(struct_pack(rule := r.host || r.path, verdict := r.verdict), length(r.host || r.path)) as best
+  from u join r on (u.host = r.host or ends_with(u.host, '.' || r.host)) and starts_with(u.path, r.path) group by u.page_id)
+select u.page_id, u.host, u.path, f.best.rule as rule, coalesce(f.best.verdict, 'allow') as verdict from u left join f using (page_id)
+"""
+_OP10 = """
+with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
+  (('0x' || substr(md5('millrace-mix:' || coalesce(cast(doc_id as varchar), '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u from documents),
+s as (select source, sum(size)::bigint as source_size, (row_number() over (order by source is null, encode(source)) - 1) % 3 as k from d group by source),
+w as (select source, source_size, case k when 0 then 5 when 1 then 2 else 1 end as weight from s),
+l as (select *, row_number() over b as pos, (sum(source_size) over ()) - 3 * coalesce(sum(source_size) over (b rows between unbounded preceding and 1 preceding), 0) as rest,
+  (sum(weight) over ()) - coalesce(sum(weight) over (b rows between unbounded preceding and 1 preceding), 0) as rest_weight
+  from w window b as (order by source_size / weight, source is null, encode(source))),
+c as (select pos, rest, rest_weight from l where rest * weight <= 3 * source_size * rest_weight order by pos limit 1),
+t as (select source, source_size, case when l.pos < c.pos then (3 * source_size)::double else c.rest::double * weight / c.rest_weight::double end as target from l, c),
+e as (select *, case when source_size > 0 then target / source_size else 0.0 end as e from t),
+p as (select d.*, e.source_size, e.target, floor(e.e) as whole, e.e - floor(e.e) as p, e.target - floor(e.e) * e.source_size as still from d join e on d.source is not distinct from e.source),
+q as (select *, (u * (1 - p)) / (u * (1 - p) + (1 - u) * p) as q from p),
+o as (select *, coalesce(sum(size) over (partition by source order by q, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before from q)
+select doc_id, size, source_size, target, ((whole + case when before < still and before + size / 2.0 <= still then 1 else 0 end) * size)::bigint as taken from o
+"""
+ORACLE_SQL: dict[str, str] = {"op5_warc": _OP5, "op6_url_filter": _OP6, "op10_mixing": _OP10}

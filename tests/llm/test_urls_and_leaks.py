@@ -1,0 +1,108 @@
+import random
+
+import pytest
+
+from millrace.llm import decontaminate as dc
+from millrace.llm import registry
+from millrace.llm import url_filter as uf
+from tests.oracle import SF_DIR, check
+
+
+def split(url):
+    if not url or "://" not in url:
+        return "", ""
+    rest = url.partition("://")[2]
+    end = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+    path = rest[end:]
+    stop = min([path.find(c) for c in "?#" if c in path], default=len(path))
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:end]), path[:stop]
+
+
+def verdict(url, rules):
+    host, path = split(url)
+    fits = [(len(h + p), len(h), v, h + p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=None)
+    return (host, path, best[3], best[2]) if best else (host, path, None, "allow")
+
+
+def test_query(spark):
+    assert check(spark, registry.op6_url_filter, registry.ORACLE_SQL["op6_url_filter"]) == 50
+
+
+@pytest.mark.parametrize(("slice_rules", "task_keys"), [(3, 10), (512, 100_000)])
+def test_random_rules_against_brute_force(spark, slice_rules, task_keys):
+    rng = random.Random(5)
+    hosts = ["com", "a.com", "b.a.com", "xa.com", "net", "c.b.a.com", "é.net"]
+    paths = ["", "/", "/e", "/en", "/en/", "/en/x", "/f"]
+    rules = sorted({(h, p): (rng.choice(["allow", "block"]), h, p) for h in rng.sample(hosts, 5) for p in rng.sample(paths, 4)}.values())
+    urls = [f"http://{h}{p}{q}" for h in [*hosts, "A.COM", "org", ""] for p in [*paths, "/en/x/y"] for q in ("", "?a://b/", "#z")] + [None, "", "a.com/en", "ftp://a.com:80/"]
+    pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate([*urls, *urls[:5]])], "page_id long, url string, rule string")
+    got = uf.filter_urls(pages, uf.rules_frame(spark, rules), slice_rules=slice_rules, task_keys=task_keys).collect()
+    assert len(got) == pages.count()
+    for r in got:
+        assert (r.host, r.path, r.rule, r.verdict) == verdict(r.url, rules), r.url
+
+
+def test_no_rules_and_no_pages(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
+    assert [r.verdict for r in uf.filter_urls(pages, uf.rules_frame(spark, [])).collect()] == ["allow"]
+    assert uf.filter_urls(pages.limit(0), uf.rules_frame(spark, [("block", "a.com", "/")])).count() == 0
+    odd = uf.rules_frame(spark, [("maybe", "a.com", "/"), ("block", None, None)])
+    assert [r.rule for r in uf.filter_urls(pages, odd).collect()] == [None]
+
+
+def brute(docs, items):
+    """All (doc, item) pairs by scoring every passage with every item of its class, without bounds."""
+    index, found = dc.Index(items), set()
+    for doc_id, text in docs:
+        words = dc.tokens(text or "")
+        for c in index.classes:
+            of = {}
+            for t, its in c.items.items():
+                for i, x in zip(its, c.scores[t], strict=True):
+                    of.setdefault(i, {})[t] = x
+            for at in range(0, max(1, len(words) - c.length), c.length):
+                passage = words[at : at + 2 * c.length]
+                terms = {index.number[w] for w in passage if w in index.number}
+                inside = dc.shingles(passage)
+                for i, scores in of.items():
+                    if sum(x for t, x in scores.items() if t in terms) >= dc.THRESHOLD and all(dc._share(p, inside, passage) >= dc.OVERLAP for p in index.parts[i]):
+                        found.add((doc_id, index.ids[i]))
+    return found
+
+
+def test_leaks_against_brute_force(spark):
+    items = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
+    got = {(r.doc_id, r.item_id) for r in registry.op7_decontamination(spark, SF_DIR).collect()}
+    assert got == brute(docs, items)
+    whole = {(d, i) for d, t in docs for i, x in items if " ".join(dc.tokens(x)) in " ".join(dc.tokens(t))}
+    assert whole <= got and got
+
+
+def test_planted_leaks_and_clean_texts(spark, monkeypatch):
+    monkeypatch.setattr(dc, "BLOCK_ITEMS", 2)  # several passes
+    rng = random.Random(2)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    text = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    items = [(k, f"{text(n)}\n{text(a)}") for k, (n, a) in enumerate([(20, 2), (40, 9), (70, 6), (13, 3)])] + [(9, "one"), (10, ""), (11, None)]
+    docs = [(k, text(rng.randint(0, 300)) + " " + t.upper().replace(" ", ", ") + " " + text(200)) for k, t in items[:4]] + [(50, text(5000)), (51, None), (52, ""), (53, items[1][1].split("\n")[0]), (54, "ONE!")]
+    frame = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, matches string")
+    found = dc.find_contamination(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, m.item_id) for r in found for m in r.matches} == {(0, 0), (1, 1), (2, 2), (3, 3), (54, 9)}
+    assert len(found) == len(docs)
+    assert dc.find_contamination(frame, spark.createDataFrame([], "item_id long, text string")).where("size(matches) > 0").count() == 0
+
+
+def test_wand_finds_what_full_scoring_finds():
+    rng = random.Random(4)
+    items = [(k, " ".join(rng.choices([f"t{j}" for j in range(60)], k=rng.randint(9, 16)))) for k in range(400)]
+    (c,) = dc.Index(items).classes
+    for _ in range(50):
+        terms = rng.sample(range(60), 25)
+        full = {}
+        for t in terms:
+            for i, x in zip(c.items.get(t, []), c.scores.get(t, []), strict=True):
+                full[i] = full.get(i, 0) + x
+        for threshold in (0.3, 0.6, 0.8):
+            assert [i for i, _ in c.search(terms, threshold)] == sorted(i for i, x in full.items() if x >= threshold - 1e-9)
