@@ -137,8 +137,12 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
     hash of their id, and SAMPLE_BYTES bytes of each.
     """
     marked = with_revisits(pages, min_bytes, broadcast_rows)
-    picked = pages.select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html"), F.xxhash64("page_id").alias("_order"))
-    sample = [r["html"].encode()[:SAMPLE_BYTES] for r in picked.orderBy("_order", "page_id", "html").limit(SAMPLE_RECORDS).collect()]
+    # First the hash that SAMPLE_RECORDS records do not exceed, from the ids alone; then those records.
+    order = F.xxhash64("page_id")
+    least = pages.select(order.alias("h")).orderBy("h").limit(SAMPLE_RECORDS).agg(F.max("h")).first()[0]
+    picked = pages.where(order <= least) if least is not None else pages.limit(0)
+    heads = picked.select("page_id", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html")).limit(SAMPLE_RECORDS)
+    sample = [r["html"].encode()[:SAMPLE_BYTES] for r in sorted(heads.collect(), key=lambda r: (r["page_id"] is not None, r["page_id"], r["html"]))]
     dictionary = build_dictionary([record(k, "", x, payload_digest(x), None, False) for k, x in enumerate(sample)])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
