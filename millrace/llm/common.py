@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +54,34 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def extras_apart(*own: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """For an operator on a table: columns that it does not read pass by it in one struct, so that none of their names
+    clashes with one of its own. `own` are its parameters that name columns. Where a column has the name of a result,
+    in any case, the result stays."""
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        signature = inspect.signature(operator)
+
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            given = signature.bind(docs, *args, **kwargs)
+            given.apply_defaults()
+            read = {given.arguments[name].lower() for name in own}
+            extra = [c for c in docs.columns if c.lower() not in read]
+            if not extra:
+                return operator(docs, *args, **kwargs)
+            apart = F.struct(*[F.col(f"`{c}`") for c in extra]).alias("_extra")
+            out = operator(docs.select(*[c for c in docs.columns if c.lower() in read], apart), *args, **kwargs)
+            results = [c for c in out.columns if c != "_extra" and c.lower() not in read]
+            hidden = {c.lower() for c in results}
+            back = [F.col("_extra").getField(c).alias(c) if c in extra else F.col(c) for c in docs.columns if (c.lower() not in hidden if c in extra else c in out.columns)]
+            return out.select(*back, *results)
+
+        return run
+
+    return wrap
+
+
 def words(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text in order; none for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))

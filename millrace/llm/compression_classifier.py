@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.common import extras_apart
+
 LEVEL = 3
 BLOCK = 512
 DICTIONARY_BYTES = 112_640
@@ -124,6 +126,7 @@ def _with_difference(docs: DataFrame, text_col: str, good: bytes, bad: bytes) ->
     return docs.mapInArrow(run, out)
 
 
+@extras_apart("text_col")
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with `score` (0 to 1, higher: likelier good) and `predicted` (1 from the threshold on).
 

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.common import extras_apart
+
 K1, B = 1.2, 0.75
 #: Of the item's score for its own text.
 THRESHOLD = 0.6
@@ -181,6 +183,7 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
+@extras_apart("text_col")
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """docs with `matches`: the benchmark items (item_id, text) found in each whole text, with their best passage's figures.
 

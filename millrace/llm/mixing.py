@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import broadcast_if_small, materialize, words
+from millrace.llm.common import broadcast_if_small, extras_apart, materialize, words
 
 #: Weights of the sources in code point order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -58,6 +58,7 @@ def _uniform(id_col: Column, seed: str) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+@extras_apart("id_col", "text_col", "source_col")
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",

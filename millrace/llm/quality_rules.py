@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BROADCAST_ROWS, broadcast_if_small, words
+from millrace.llm.common import BROADCAST_ROWS, broadcast_if_small, extras_apart, words
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -80,6 +80,7 @@ def ngram_log_ratios(
     return [round(math.log(ratio(r, t)), 5) if r else 0.0 for r, t in zip(raw, target, strict=True)]
 
 
+@extras_apart("text_col")
 def quality_rules(
     docs: DataFrame,
     log_ratios: list[float],

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import extras_apart, materialize
 
 SHARDS = 16
 LAW = "key"
@@ -48,6 +48,7 @@ def shard_of(key: Column, shards: int) -> Column:
     return run(F.coalesce(key.cast("bigint"), F.lit(0).cast("bigint")))
 
 
+@extras_apart("id_col", "text_col")
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without its text, with size, text_crc32, law, shard, slot and grown_shard (of one shard more).
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import materialize
+from millrace.llm.common import extras_apart, materialize
 from millrace.llm.graph import connected_components
 
 RADIUS = 3
@@ -113,6 +113,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, cap: int = CAP) -> Dat
     return _bucket_edges(light.select("fps").union(heavy.select("fps")), radius)
 
 
+@extras_apart("id_col", "text_col")
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, cap: int = CAP) -> DataFrame:
     """Each row of docs without its text, with `fp`, `root` (the component's smallest fingerprint) and `component_id`.
 

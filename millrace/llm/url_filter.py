@@ -18,7 +18,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import broadcast_if_small, materialize
+from millrace.llm.common import broadcast_if_small, extras_apart, materialize
 
 #: Rules in a slice, and URL keys in a task, about.
 SLICE_RULES = 512
@@ -70,6 +70,7 @@ def _slices(stacks: DataFrame, slice_rules: int) -> DataFrame:
     return stacks.withColumn("slice", F.floor((F.row_number().over(Window.orderBy("key")) - 1) / slice_rules).cast("int"))
 
 
+@extras_apart("url_col")
 def filter_urls(
     pages: DataFrame,
     rules: DataFrame,
