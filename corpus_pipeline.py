@@ -6,47 +6,60 @@ columns of documents; a row that mixing repeats stands there as often as it is t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import compression_classifier, decontaminate, mixing, sharding, simhash
 from millrace.llm.common import materialize, table
+from millrace.llm.registry import held_out
 
 #: The stages score and match texts by compression and by hashes that DuckDB does not have.
 ORACLE_SQL: str | None = None
 
 
-def _key(docs: DataFrame) -> Column:
-    """A hash of the whole row: rows that agree in it and in doc_id are equal."""
-    return F.xxhash64(*docs.columns)
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """text, and all other columns in one struct, so that no name of theirs clashes with one of a stage."""
+    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_rest"))
+
+
+def _unwrapped(wrapped: DataFrame, docs: DataFrame) -> DataFrame:
+    return wrapped.select(*[F.col("text") if c == "text" else F.col("_rest").getField(c).alias(c) for c in docs.columns])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Wrapped, with _id and a hash of the whole row: rows that agree in both are equal."""
+    return _wrapped(docs).withColumns({"_id": F.col("_rest.doc_id"), "_key": F.xxhash64("text", "_rest")})
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier rejects go."""
-    model = compression_classifier.train(docs, table(spark, sf_dir, "labels"))
-    return compression_classifier.score(docs, model).where("predicted = 1").select(*docs.columns)
+    """Documents that the compression classifier, trained as in its query, rejects go."""
+    model = compression_classifier.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return _unwrapped(compression_classifier.score(_wrapped(docs), model).where("predicted = 1"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one of least doc_id, of equal rows any."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text", _key(docs).alias("_key")))
-    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "_key")).alias("f")).select(F.col("f._key").alias("_key"), F.col("f.doc_id").alias("_id"))
-    kept = docs.withColumn("_key", _key(docs)).join(first, ["_key"]).where(F.col("doc_id").eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["_key", "_id"]).select(*docs.columns)
+    """One document of each group stays: the one of least doc_id, null being the least, of equal rows any."""
+    keyed = _keyed(docs)
+    found = simhash.near_duplicates(keyed.select("_id", "text", "_key"), "_id")
+    first = found.groupBy("root").agg(F.min(F.struct("_id", "_key")).alias("f")).select(F.col("f._id").alias("_i"), F.col("f._key").alias("_k"))
+    kept = keyed.join(first, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")), "left_semi")
+    return _unwrapped(kept.dropDuplicates(["_key", "_id"]), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark item go."""
-    return decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")).where(F.size("matches") == 0).select(*docs.columns)
+    found = decontaminate.find_contamination(_wrapped(docs), table(spark, sf_dir, "benchmark"))
+    return _unwrapped(found.where(F.size("matches") == 0), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = mixing.mix(docs.select("doc_id", "source", "text", _key(docs).alias("_key")))
-    copies = taken.groupBy("_key").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    keyed = _keyed(docs)
+    taken = mixing.mix(keyed.select("_id", F.col("_rest.source").alias("_source"), "text", "_key"), "_id", source_col="_source")
+    copies = taken.groupBy(F.col("_id").alias("_i"), F.col("_key").alias("_k")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
     # Equal rows are one row here, repeated as often as all of them are taken.
-    distinct = docs.withColumn("_key", _key(docs)).join(copies, "_key").dropDuplicates(["_key"])
-    return distinct.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_n")).select(*docs.columns)
+    distinct = keyed.join(copies, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i"))).dropDuplicates(["_key", "_id"])
+    return _unwrapped(distinct.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))), docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
