@@ -1,7 +1,9 @@
 """Quality classifier by compression: two Zstandard dictionaries, one built from good and one from bad labelled texts.
 
 A text is cut into blocks, each compressed on its own with either dictionary. The difference of the two total sizes,
-per byte of text, is turned into the probability of a good text by a logistic curve fitted to other labelled texts.
+normalised by the text's bytes and EVIDENCE more, is turned into the probability of a good text by a logistic curve
+fitted to other labelled texts. The curve also weighs how much of that sum the text's own bytes are, so that a text of
+a few words, whose difference says little, gets about the odds of short texts.
 
 Training is on a bounded sample (`Sample`): what reaches the driver does not grow with the corpus. Scoring is one pass
 over the documents in their own partitions, without a shuffle.
@@ -26,6 +28,8 @@ LEVEL = 3
 BLOCK = 512
 DICTIONARY_BYTES = 112_640
 THRESHOLD = 0.7
+#: Bytes of text at which a difference counts half.
+EVIDENCE = 64
 
 
 @dataclass(frozen=True)
@@ -44,9 +48,7 @@ class Model:
     bad: bytes
     intercept: float
     slope: float
-
-    def scores(self, differences: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.intercept + self.slope * differences, -30, 30)))
+    length: float = 0.0
 
 
 def _dictionary(texts: list[bytes], size: int) -> bytes:
@@ -69,21 +71,23 @@ class _Compressor:
 
 
 def _differences(texts: Iterator[bytes], good: _Compressor, bad: _Compressor) -> np.ndarray:
-    """Compressed size with the bad dictionary less that with the good one, per byte of text; 0 for an empty text."""
-    return np.array([(bad.size(t) - good.size(t)) / max(1, len(t)) for t in texts], float)
+    """Of each text, compressed size with the bad dictionary less that with the good one, and its bytes; both over its
+    bytes and EVIDENCE. 0 and 0 for an empty text."""
+    return np.array([((bad.size(t) - good.size(t)) / (len(t) + EVIDENCE), len(t) / (len(t) + EVIDENCE)) for t in texts], float).reshape(-1, 2)
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope of a logistic curve with a slight ridge, by Newton's method."""
+def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Intercept and slopes of a logistic curve in two variables with a slight ridge, by Newton's method."""
     if not len(x) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
-        return float(np.log(share / (1 - share))), 0.0
-    mean, spread = x.mean(), x.std() or 1.0
-    a, w = np.c_[np.ones(len(x)), (x - mean) / spread], np.zeros(2)
+        return float(np.log(share / (1 - share))), 0.0, 0.0
+    mean, spread = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    a, w = np.c_[np.ones(len(x)), (x - mean) / spread], np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w += np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (y - p) - 1e-3 * w)
-    return float(w[0] - w[1] * mean / spread), float(w[1] / spread)
+        w += np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(3), a.T @ (y - p) - 1e-3 * w)
+    slopes = w[1:] / spread
+    return float(w[0] - slopes @ mean), float(slopes[0]), float(slopes[1])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: Sample = Sample()) -> Model:
@@ -104,24 +108,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     heads = chosen.where("_half = 0").select("_y", F.substring("_text", 1, sample.dictionary_text_bytes).alias("_text"), "_order").orderBy("_order", "_text").limit(2 * sample.dictionary_texts).collect()
     texts = [[r["_text"].encode()[: sample.dictionary_text_bytes] for r in heads if r["_y"] == y] for y in (0, 1)]
     bad, good = (_dictionary(x, DICTIONARY_BYTES) for x in texts)
-    measured = _with_difference(chosen.where("_half = 1").select("_y", "_order", "_text"), "_text", good, bad).select("_y", "_order", "_d").orderBy("_order", "_d").limit(2 * sample.curve_texts).collect()
-    intercept, slope = _fit_curve(np.array([r["_d"] for r in measured], float), np.array([r["_y"] for r in measured], float))
+    measured = _with_difference(chosen.where("_half = 1").select("_y", "_order", "_text"), "_text", good, bad).select("_y", "_order", "_d", "_l").orderBy("_order", "_d", "_l").limit(2 * sample.curve_texts).collect()
+    intercept, slope, length = _fit_curve(np.array([(r["_d"], r["_l"]) for r in measured], float), np.array([r["_y"] for r in measured], float))
     # The sample has as many of either class as there are, up to its bound; the labels' own odds take its place.
     whole, part = ({y: 1 + n for y, n in x} for x in (clean.groupBy("_y").count().collect(), Counter(r["_y"] for r in measured).items()))
     if slope and len(whole) == 2:
         intercept += float(np.log(whole[1] / whole[0] * part[0] / part[1]))
-    return Model(good, bad, intercept, slope)
+    return Model(good, bad, intercept, slope, length)
 
 
 def _with_difference(docs: DataFrame, text_col: str, good: bytes, bad: bytes) -> DataFrame:
     at = docs.columns.index(text_col)
-    out = T.StructType([*docs.schema.fields, T.StructField("_d", T.DoubleType())])
+    out = T.StructType([*docs.schema.fields, T.StructField("_d", T.DoubleType()), T.StructField("_l", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_good, by_bad = _Compressor(good), _Compressor(bad)
         for b in batches:
             d = _differences((x.as_py() or b"" for x in b.column(at).cast(pa.binary())), by_good, by_bad)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d, pa.float64())], names=[*b.schema.names, "_d"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d[:, 0], pa.float64()), pa.array(d[:, 1], pa.float64())], names=[*b.schema.names, "_d", "_l"])
 
     return docs.mapInArrow(run, out)
 
@@ -130,10 +134,10 @@ def _with_difference(docs: DataFrame, text_col: str, good: bytes, bad: bytes) ->
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with `score` (0 to 1, higher: likelier good) and `predicted` (1 from the threshold on).
 
-    The score depends on the whole text alone. Null texts count as empty and get the curve's value at no difference.
+    The score depends on the whole text alone. Null texts count as empty and get the curve's value at length 0.
     Rows keep their order and number; other columns pass through, and ones named score or predicted give way.
     """
     rest = docs.drop("score", "predicted")
-    line = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(model.intercept) + F.lit(model.slope) * F.col("_d")))
+    line = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(model.intercept) + F.lit(model.slope) * F.col("_d") + F.lit(model.length) * F.col("_l")))
     scored = _with_difference(rest, text_col, model.good, model.bad).withColumn("score", 1 / (1 + F.exp(-line)))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)).select(*rest.columns, "score", "predicted")
