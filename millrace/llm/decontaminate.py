@@ -1,9 +1,10 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, searched by block-max WAND.
 
 Every passage of every training document is a query. Items are indexed by length class; a class of items of up to n
-words is searched with passages of 2n words, n apart, so each item's whole text falls into one passage. Scores are
-divided by the item's score for its own text, so one threshold serves all items. Running sums over the document
-of each word's largest score in each range of the items pass by the passages whose words together cannot reach the
+words is searched with passages of 2.5n words, 0.5n apart, so any 2n + 1 words of a document fall into one passage: an item's
+whole text does, with as many words again between its question and its answer, wherever it stands. Scores are
+divided by the item's score for its own text, so one threshold serves all items. Sums over the document's steps of
+each word's largest score in each range of the items pass by the passages whose words together cannot reach the
 threshold in any range: WAND's test by block bounds, applied to all passages at once. For the others, block-max WAND retrieves all items above the
 threshold, and each is verified: enough five-word shingles of its question and of its answer must be in the passage.
 
@@ -18,6 +19,7 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ SHINGLE = 5
 OVERLAP = 0.8
 SHORTEST_CLASS = 16
 POSTINGS_BLOCK = 64
+#: Passages begin so many times in the length of a class.
+STEPS = 2
 #: Ranges of a class's items whose bounds are summed for all passages at once.
 RANGES = 24
 #: Items and characters of one block of the benchmark, at most (one item can be larger).
@@ -136,14 +140,20 @@ class Index:
         """(item_id, score, question overlap, answer overlap) of the items found in the text, each at its best passage."""
         found = tokens(text)
         get, none = self.number.get, len(self.number)
-        ids = np.fromiter((get(w, none) for w in found), np.int64, len(found))
+        ids = np.fromiter(map(get, found, repeat(none)), np.int64, len(found))
         best: dict[int, tuple[float, float, float]] = {}
         for c in self.classes:
             bounds = c.range_bound[ids]
-            sums = np.concatenate((np.zeros((1, RANGES)), np.cumsum(bounds, axis=0, dtype=np.float64)))
-            starts = np.arange(0, max(1, len(found) - c.length), c.length)
-            ends = np.minimum(starts + 2 * c.length, len(found))
-            for at in np.flatnonzero((sums[ends] - sums[starts]).max(axis=1) >= threshold - 1e-4):
+            step = c.length // STEPS
+            starts = np.arange(0, max(1, len(found) - 2 * c.length), step)
+            ends = np.minimum(starts + 2 * c.length + step, len(found))
+            # Sums over each step, and of the steps of each passage.
+            sums = np.zeros((len(starts) + 2 * STEPS, RANGES))
+            if len(found):
+                parts = np.add.reduceat(bounds, np.arange(0, len(found), step), axis=0, dtype=np.float64)
+                sums[: len(parts)] = parts
+            near = sum(sums[k : k + len(starts)] for k in range(2 * STEPS + 1)).max(axis=1)
+            for at in np.flatnonzero(near >= threshold - 1e-4):
                 terms = np.unique(ids[starts[at] : ends[at]])
                 if c.range_bound[terms].sum(axis=0).max() < threshold - 1e-4:
                     continue
@@ -187,8 +197,9 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """docs with `matches`: the benchmark items (item_id, text) found in each whole text, with their best passage's figures.
 
-    A text that spreads an item over more than twice its class's length is not a match; one that has at least
-    `overlap` of the item's question shingles and of its answer shingles together in a passage is, if it scores. Null
+    A text that has at least `overlap` of an item's question shingles and of its answer shingles within twice its class's
+    length is a match, if it scores, at every place in the text. One that spreads them over more than 2.5
+    times that length is not; between the two, the place decides. Null
     texts and texts or items without words match nothing; items of a null id match with a null id; repeated items each
     match. Each block of items is one more pass over the documents, and BM25's statistics are those of a block. Rows
     stay as they are; other columns pass through, and one named matches gives way. Without items, matches is empty.

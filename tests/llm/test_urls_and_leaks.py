@@ -106,3 +106,15 @@ def test_wand_finds_what_full_scoring_finds():
                 full[i] = full.get(i, 0) + x
         for threshold in (0.3, 0.6, 0.8):
             assert [i for i, _ in c.search(terms, threshold)] == sorted(i for i, x in full.items() if x >= threshold - 1e-9)
+
+
+@pytest.mark.parametrize(("question", "answer", "between"), [(15, 1, 8), (28, 4, 16), (60, 4, 24), (12, 4, 17), (60, 4, 65)])
+def test_leaks_with_words_between_question_and_answer_at_all_offsets(question, answer, between):
+    """Up to 2n + 1 words in all, n the length of the item's class."""
+    word = lambda kind, n: " ".join(f"{kind}{k}" for k in range(n))
+    index = dc.Index([(1, f"{word('q', question)}\n{word('a', answer)}"), (2, f"{word('x', question)}\n{word('y', answer)}")])
+    leak = f"{word('q', question)} {word('between', between)} {word('a', answer)}"
+    for after in (0, 300):
+        for offset in range(2 * index.classes[0].length):
+            found = index.matches(f"{word('before', offset)} {leak} {word('after', after)}", dc.THRESHOLD, dc.OVERLAP)
+            assert [m[0] for m in found] == [1], (after, offset)
