@@ -8,7 +8,8 @@ each word's largest score in each range of the items pass by the passages whose
 threshold in any range: WAND's test by block bounds, applied to all passages at once. For the others, block-max WAND retrieves all items above the
 threshold, and each is verified: enough five-word shingles of its question and of its answer must be in the passage.
 
-The index holds a block of items at a time and is sent to the executors; documents are searched in their partitions,
+The index holds a block of items at a time and is sent to the executors, weighed by the words of all items, whose
+frequencies the driver counts; documents are searched in their partitions,
 without a shuffle.
 """
 
@@ -18,8 +19,9 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -116,20 +118,38 @@ class _Class:
         return found
 
 
+class Statistics(NamedTuple):
+    """What BM25 weighs by: in how many items each word is, the items with words, and the words of all of them."""
+
+    frequency: Mapping[str, int]
+    items: int
+    words: int
+
+
+def statistics(texts: Iterable[str]) -> Statistics:
+    frequency: Counter[str] = Counter()
+    items = words = 0
+    for found in map(tokens, texts):
+        frequency.update(set(found))
+        items, words = items + bool(found), words + len(found)
+    return Statistics(frequency, items, words)
+
+
 class Index:
-    """All length classes of a block of items (item_id, text), and what verification needs of each."""
+    """All length classes of a block of items (item_id, text), and what verification needs of each. `of` are the
+    statistics of the whole benchmark, which the block's own stand for if it is the whole."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], of: Statistics | None = None):
+        of = of or statistics(t for _, t in items)
         read = [(i, tokens(t), *question_and_answer(t)) for i, t in items]
         read = [x for x in read if x[1]]
         self.ids = [x[0] for x in read]
         self.parts = [(shingles(q), shingles(a)) for _, _, q, a in read]
-        frequency = Counter(w for _, found, _, _ in read for w in set(found))
-        self.number = {w: k for k, w in enumerate(frequency)}
-        mean = sum(len(x[1]) for x in read) / max(1, len(read))
+        self.number = {w: k for k, w in enumerate(dict.fromkeys(w for _, found, _, _ in read for w in found))}
+        mean = of.words / max(1, of.items)
         by_class: dict[int, dict[int, list[tuple[int, float]]]] = defaultdict(lambda: defaultdict(list))
         for k, (_, found, _, _) in enumerate(read):
-            weights = {w: math.log(1 + (len(read) - frequency[w] + 0.5) / (frequency[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(found) / mean)) for w, n in Counter(found).items()}
+            weights = {w: math.log(1 + (of.items - of.frequency[w] + 0.5) / (of.frequency[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(found) / mean)) for w, n in Counter(found).items()}
             own = sum(weights.values())
             length = max(SHORTEST_CLASS, 1 << (len(found) - 1).bit_length())
             for w, x in weights.items():
@@ -201,7 +221,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     length is a match, if it scores, at every place in the text. One that spreads them over more than 2.5
     times that length is not; between the two, the place decides. Null
     texts and texts or items without words match nothing; items of a null id match with a null id; repeated items each
-    match. Each block of items is one more pass over the documents, and BM25's statistics are those of a block. Rows
+    match. Each block of items is one more pass over the documents; BM25's statistics are those of all items. Rows
     stay as they are; other columns pass through, and one named matches gives way. Without items, matches is empty.
     """
     rest = docs.drop("matches")
@@ -209,11 +229,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     found = rest.withColumn("matches", F.array().cast(MATCHES))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
     names = [f.name for f in kind.value_type]
-    for block in _blocks(benchmark.select(F.col("item_id").cast("bigint"), "text").where("text is not null")):
-        sent = rest.sparkSession.sparkContext.broadcast(block)
+    items = benchmark.select(F.col("item_id").cast("bigint"), "text").where("text is not null")
+    whole = statistics(r["text"] for r in items.select("text").toLocalIterator())
+    for block in _blocks(items):
+        own = {w for _, t in block for w in tokens(t)}
+        sent = rest.sparkSession.sparkContext.broadcast((block, whole._replace(frequency={w: whole.frequency[w] for w in own})))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value)
+            index = Index(*sent.value)
             for b in batches:
                 rows = []
                 for text, before in zip(b.column(at), b.column(b.num_columns - 1), strict=True):

@@ -118,3 +118,14 @@ def test_leaks_with_words_between_question_and_answer_at_all_offsets(question, a
         for offset in range(2 * index.classes[0].length):
             found = index.matches(f"{word('before', offset)} {leak} {word('after', after)}", dc.THRESHOLD, dc.OVERLAP)
             assert [m[0] for m in found] == [1], (after, offset)
+
+
+def test_figures_do_not_depend_on_the_blocks(spark, monkeypatch):
+    items = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").union(spark.createDataFrame([(None, "one two"), (5, ""), (6, None)], "item_id long, text string"))
+    docs = spark.createDataFrame([(k, r.text + " and more") for k, r in enumerate(items.where("text <> ''").collect())], "doc_id long, text string")
+    # With such thresholds, items are found by some of their words, and scores below 1 are among the figures.
+    figures = lambda: {(r.doc_id, *m[:1], *(round(x, 9) for x in m[1:])) for r in dc.find_contamination(docs, items, threshold=0.1, overlap=0.0).collect() for m in r.matches}
+    whole = figures()
+    assert any(score < 1 for _, _, score, _, _ in whole)
+    monkeypatch.setattr(dc, "BLOCK_ITEMS", 7)
+    assert figures() == whole
