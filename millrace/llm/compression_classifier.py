@@ -14,11 +14,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,11 +36,12 @@ EVIDENCE = 64
 @dataclass(frozen=True)
 class Sample:
     """Bounds of the training sample: texts per class for the dictionaries, texts per class to fit the curve, and the
-    bytes of a text that a dictionary is built from. Rows are taken in the order of a hash of their id."""
+    bytes of the texts that a dictionary is built from. Rows are taken in the order of a hash of their id, whole texts
+    as long as they fit in the bytes; only a text longer than all these bytes is passed over."""
 
     dictionary_texts: int = 2000
     curve_texts: int = 2000
-    dictionary_text_bytes: int = 8192
+    dictionary_bytes: int = 16_384_000
 
 
 @dataclass(frozen=True)
@@ -90,6 +92,19 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(w[0] - slopes @ mean), float(slopes[0]), float(slopes[1])
 
 
+def _last_orders(rows: list[Row], most: int) -> dict[int, int]:
+    """Of each class, the last `_order` up to which the texts of these rows, in order, have at most so many bytes."""
+    last: dict[int, int] = {}
+    for y in (0, 1):
+        total = 0
+        for order, same in groupby((r for r in rows if r["_y"] == y), lambda r: r["_order"]):
+            total += sum(r["_n"] for r in same)
+            if total > most:
+                break
+            last[y] = order
+    return last
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: Sample = Sample()) -> Model:
     """A model of label_col (0 or 1) from the rows of labels, which the caller has cut down to what may be learned from.
 
@@ -105,8 +120,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             picked = part if picked is None else picked.union(part)
     # At most 2 * (dictionary_texts + curve_texts) ids are broadcast.
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null").join(F.broadcast(picked), "_id")
-    heads = chosen.where("_half = 0").select("_y", F.substring("_text", 1, sample.dictionary_text_bytes).alias("_text"), "_order").orderBy("_order", "_text").limit(2 * sample.dictionary_texts).collect()
-    texts = [[r["_text"].encode()[: sample.dictionary_text_bytes] for r in heads if r["_y"] == y] for y in (0, 1)]
+    sized = chosen.where("_half = 0").withColumn("_n", F.octet_length("_text")).where(F.col("_n") <= sample.dictionary_bytes)
+    last = _last_orders(sized.select("_y", "_order", "_n").orderBy("_order", "_n").limit(2 * sample.dictionary_texts).collect(), sample.dictionary_bytes)
+    fits = F.lit(False)
+    for y, order in last.items():
+        fits = fits | ((F.col("_y") == y) & (F.col("_order") <= order))
+    whole_texts = sized.where(fits).orderBy("_order", "_text").limit(2 * sample.dictionary_texts).select("_y", "_text").collect()
+    texts = [[r["_text"].encode() for r in whole_texts if r["_y"] == y] for y in (0, 1)]
     bad, good = (_dictionary(x, DICTIONARY_BYTES) for x in texts)
     measured = _with_difference(chosen.where("_half = 1").select("_y", "_order", "_text"), "_text", good, bad).select("_y", "_order", "_d", "_l").orderBy("_order", "_d", "_l").limit(2 * sample.curve_texts).collect()
     intercept, slope, length = _fit_curve(np.array([(r["_d"], r["_l"]) for r in measured], float), np.array([r["_y"] for r in measured], float))

@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter
@@ -69,3 +70,25 @@ def test_classifier_with_hardly_any_labels(spark, labelled):
     got = cc.score(docs, model).collect()
     assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
     assert cc.score(docs.limit(0), model).count() == 0
+
+
+def test_dictionaries_learn_from_whole_texts_within_a_byte_budget(spark):
+    """What sets the classes apart stands behind 20,000 bytes of words that they share."""
+    rng = random.Random(1)
+    shared = lambda: " ".join(f"s{rng.randrange(3000)}" for _ in range(4000))
+    words = lambda kind, k: " ".join(f"{kind}{(k * 7 + j) % 50}" for j in range(100))
+    rows = [(i, shared() + " " + words("good" if i % 2 else "bad", i)) for i in range(120)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    model = cc.train(docs, labels)
+    assert b"good1" in model.good and b"bad1" in model.bad and b"bad1" not in model.good and b"good1" not in model.bad
+    one = cc.train(docs, labels, sample=cc.Sample(dictionary_bytes=30_000))  # a single text of each class fits
+    assert b"good1" in one.good and b"bad1" in one.bad
+    assert cc.train(docs, labels, sample=cc.Sample(dictionary_bytes=100)).good == b""
+
+
+def test_orders_within_the_bytes():
+    row = lambda y, order, n: {"_y": y, "_order": order, "_n": n}
+    rows = [row(0, 1, 5), row(1, 1, 9), row(0, 2, 3), row(0, 2, 3), row(1, 3, 1), row(1, 4, 1)]
+    assert cc._last_orders(rows, 10) == {0: 1, 1: 3}
+    assert cc._last_orders(rows, 11) == {0: 2, 1: 4}
+    assert cc._last_orders(rows, 4) == {}
