@@ -61,12 +61,11 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("user_id").agg(F.max("session_no").cast("long").alias("n_sessions"), F.count("*").alias("n_events"))
 
 
-def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dot product of every vector with the one of id 0, which the driver reads."""
+def similarity_to_vector_0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dot product of every vector with the one of id 0; no rows without it."""
     v = table(spark, sf_dir, "embeddings")
-    first = v.where("vec_id = 0").select("embedding").first()[0]
-    query = F.array(*[F.lit(float(x)) for x in first])
-    return v.select("vec_id", F.round(dot(F.col("embedding"), query), 6).alias("similarity"))
+    query = v.where("vec_id = 0").select(F.col("embedding").cast("array<double>").alias("query"))
+    return v.crossJoin(F.broadcast(query)).select("vec_id", F.round(dot(F.col("embedding"), F.col("query")), 6).alias("similarity"))
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +94,7 @@ select *, row_number() over (partition by l_suppkey order by l_extendedprice des
     "case_buckets": "select case when p_size < 10 then 'small' when p_size < 30 then 'medium' else 'large' end as size, count(*) as n, round(sum(p_retailprice), 2) as price from {part} group by 1",
 }
 
-QUERIES = {"star_revenue": star_revenue, "asof_price": asof_price, "size_bands": size_bands, "sessions": sessions, "vector_pairs": vector_pairs, "event_windows": event_windows} | {n: _sql(t) for n, t in SHARED.items()}
+QUERIES = {"star_revenue": star_revenue, "asof_price": asof_price, "size_bands": size_bands, "sessions": sessions, "similarity_to_vector_0": similarity_to_vector_0, "event_windows": event_windows} | {n: _sql(t) for n, t in SHARED.items()}
 ORACLE_SQL = {
     "star_revenue": """
 select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue
@@ -110,6 +109,6 @@ asof left join (select user_id, ts, value as last_value from events where event_
     "size_bands": "select cast(floor(p_retailprice / 250) as int) as band, count(*) as n from part where p_retailprice >= 0 and p_retailprice < 3000 group by 1",
     "sessions": """select user_id, cast(sum(new) as bigint) as n_sessions, count(*) as n_events from (select user_id, case when lag(ts) over w is null or ts > lag(ts) over w + interval 6 hours then 1 else 0 end as new
 from events window w as (partition by user_id order by ts)) x group by user_id""",
-    "vector_pairs": "select v.vec_id, round(list_dot_product(v.embedding::double[], q.embedding::double[]), 6) as similarity from embeddings v, (select embedding from embeddings where vec_id = 0) q",
+    "similarity_to_vector_0": "select v.vec_id, round(list_dot_product(v.embedding::double[], q.embedding::double[]), 6) as similarity from embeddings v, (select embedding from embeddings where vec_id = 0) q",
     "event_windows": "select date_trunc('day', ts)::timestamp as day, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
 } | {n: t.replace("{", "").replace("}", "") for n, t in SHARED.items()}

@@ -42,3 +42,8 @@ def test_stream_drops_late_rows(spark, tmp_path):
         q.processAllAvailable()
     q.stop()
     assert {r.w.start: r.n for r in spark.sql("select * from late_rows").collect()} == {t(1): 1, t(9): 1, t(12): 1}
+
+
+def test_similarity_without_vector_0(spark, tmp_path):
+    spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert registry.QUERIES["similarity_to_vector_0"](spark, str(tmp_path)).count() == 0
