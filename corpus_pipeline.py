@@ -32,8 +32,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier, trained as in its query, rejects go."""
+    """Documents that the compression classifier, trained as in its query, rejects go. All stay if the labels that it
+    may learn from give it no curve, as where one class has none: such a model tells no document from another."""
     model = compression_classifier.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    if model.slope == 0:
+        return docs
     return _unwrapped(compression_classifier.score(_wrapped(docs), model).where("predicted = 1"), docs)
 
 

@@ -57,3 +57,12 @@ def test_near_duplicate_stage_with_repeats_and_nulls(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF_DIR).columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
+@pytest.mark.parametrize("labelled", [[], [(1, 1, 0)], [(1, 0, 0)], [(1, 0, 0), (1, 1, 0), (9, 1, 0), (None, 1, 0)]])
+def test_quality_stage_keeps_all_without_a_curve(spark, tmp_path, labelled):
+    spark.createDataFrame(labelled, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(1, "a b c", "en", "s", 5), (2, None, None, None, None), (None, "", "en", "s", 0), (2, "x y", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, table(spark, SF_DIR, "documents").schema)
+    got = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and Counter(map(tuple, got.collect())) == Counter(rows)
