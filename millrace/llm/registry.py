@@ -100,8 +100,8 @@ f as (select u.page_id, max_by(struct_pack(rule := r.host || r.path, verdict :=
 select u.page_id, u.host, u.path, f.best.rule as rule, coalesce(f.best.verdict, 'allow') as verdict from u left join f using (page_id)
 """
 _OP10 = """
-with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
-  (('0x' || substr(md5('millrace-mix:' || coalesce(cast(doc_id as varchar), '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u from documents),
+with recursive d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
+  md5('millrace-mix:' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as g from documents),
 s as (select source, sum(size)::bigint as source_size, (row_number() over (order by source is null, encode(source)) - 1) % 3 as k from d group by source),
 w as (select source, source_size, case k when 0 then 5 when 1 then 2 else 1 end as weight from s),
 l as (select *, row_number() over b as pos, (sum(source_size) over ()) - 3 * coalesce(sum(source_size) over (b rows between unbounded preceding and 1 preceding), 0) as rest,
@@ -110,9 +110,20 @@ l as (select *, row_number() over b as pos, (sum(source_size) over ()) - 3 * coa
 c as (select pos, rest, rest_weight from l where rest * weight <= 3 * source_size * rest_weight order by pos limit 1),
 t as (select source, source_size, case when l.pos < c.pos then (3 * source_size)::double else c.rest::double * weight / c.rest_weight::double end as target from l, c),
 e as (select *, case when source_size > 0 then target / source_size else 0.0 end as e from t),
-p as (select d.*, e.source_size, e.target, floor(e.e) as whole, e.e - floor(e.e) as p, e.target - floor(e.e) * e.source_size as still from d join e on d.source is not distinct from e.source),
-q as (select *, (u * (1 - p)) / (u * (1 - p) + (1 - u) * p) as q from p),
-o as (select *, coalesce(sum(size) over (partition by source order by q, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before from q)
-select doc_id, size, source_size, target, ((whole + case when before < still and before + size / 2.0 <= still then 1 else 0 end) * size)::bigint as taken from o
+k as (select d.*, case when size > 0 then 4 * (length(bin(size)) - 1) + ((size * 4) >> (length(bin(size)) - 1)) - 3 else 0 end as class from d),
+h as (select k.source, k.class, count(*) as n, sum(size)::bigint as words, sum(size::hugeint * size)::double as squares,
+  row_number() over (partition by k.source order by k.class desc) as pos from k group by k.source, k.class),
+f(source, pos, class, n, words, draws, carry) as (
+  select source, 0::bigint, null::bigint, null::bigint, null::bigint, null::bigint, 0.0::double from e
+  union all
+  select source, pos, class, n, words, draws,
+    want - case when words = 0 then 0.0 else draws * mean + (draws / n) * (1 - draws / n) * (squares / mean - words) end
+  from (select *, case when words = 0 then 0 else least(n, greatest(0, floor(want / mean + 0.5)))::bigint end as draws
+    from (select h.*, h.words / h.n as mean, (e.e - floor(e.e)) * h.words + f.carry as want
+      from f join h on f.source is not distinct from h.source and h.pos = f.pos + 1 join e on e.source is not distinct from h.source) x) y),
+p as (select k.*, (('0x' || substr(g, 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u, draws, draws / n as m,
+  draws / n + draws / n * (1 - draws / n) * (k.size / (words / n) - 1) as p from k join f on k.source is not distinct from f.source and k.class = f.class),
+o as (select *, row_number() over (partition by source, class order by case when m > 0 and m < 1 then (u * (1 - p)) / (u * (1 - p) + (1 - u) * p) end, g) as place from p)
+select doc_id, size, source_size, target, ((floor(e) + case when place <= draws then 1 else 0 end) * size)::bigint as taken from o join e on o.source is not distinct from e.source
 """
 ORACLE_SQL: dict[str, str] = {"op5_warc": _OP5, "op6_url_filter": _OP6, "op10_mixing": _OP10}

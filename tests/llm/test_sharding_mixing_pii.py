@@ -1,12 +1,15 @@
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from millrace.llm import mixing, pii, registry
 from millrace.llm import sharding as sd
+from millrace.llm.common import join_unique, running_sums
 from tests.oracle import SF_DIR, check
 
 
@@ -64,19 +67,95 @@ def test_targets_against_rounds_of_cutting(spark):
 def test_mix_is_near_its_targets_and_repeats(spark):
     rows = [(k, ("a", "b", None, "c")[min(k % 7, 3)], "w " * (k % 40), "x") for k in range(4000)] + [(1, "b", None, "x"), (None, "b", "q r", "x"), (None, "b", "q r", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, taken string")
-    got = mixing.mix(docs.repartition(5), slices=64).collect()
+    got = mixing.mix(docs.repartition(5), slice_rows=7).collect()
     key = lambda r: (r.doc_id or -1, r.source or "", r.size, r.taken)
-    again = mixing.mix(docs.repartition(2), slices=7).collect()
-    assert sorted(map(key, got)) == sorted(map(key, again)) and len(got) == len(rows)
+    again = mixing.mix(docs.repartition(2), broadcast_rows=0).collect()
+    texts = mixing.mix(docs.repartition(3), keep_text=True).collect()
+    assert sorted(map(key, got)) == sorted(map(key, again)) == sorted(map(key, texts)) and len(got) == len(rows)
+    assert Counter((r.doc_id, r.text) for r in texts) == Counter((r[0], r[2]) for r in rows)
     sums, target = Counter(), {}
     for r in got:
         assert r.taken == r.copies * r.size and 0 <= r.copies <= 3
         sums[r.source] += r.taken
         target[r.source] = r.target
-    assert all(abs(sums[s] - t) <= 20 for s, t in target.items())
+    assert all(abs(sums[s] - t) <= max(20, t / 100) for s, t in target.items())
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+SIZES = [20, 21, 22, 23, 20, 22, 23, 23, 40, 45, 46, 47, 3]
+
+
+def test_inclusion_frequencies_are_the_probabilities(spark):
+    """1,200 sources of the same sizes, half with p = 0.2 and half with p = 0.8 of their words in the sample."""
+    docs = spark.createDataFrame([(100 * s + k, f"s{s:04d}", "w " * n) for s in range(1200) for k, n in enumerate(SIZES)], "doc_id long, source string, text string")
+    got = mixing.mix(docs, weights=(3, 2)).collect()
+    seen, per_class, in_order = Counter(), defaultdict(Counter), 0
+    for r in got:
+        odd, whole = int(r.source[1:]) % 2, 0 if int(r.source[1:]) % 2 else 1
+        assert r.copies - whole in (0, 1)
+        seen[odd, r.size] += r.copies - whole
+        per_class[odd, r.size < 24, r.size > 24][r.source] += r.copies - whole
+    assert all(len(set(c.values())) == 1 for c in per_class.values())  # the number is fixed
+    for odd in (0, 1):
+        for sizes in ([n for n in SIZES if 19 < n < 24], [n for n in SIZES if 39 < n < 48]):
+            m, mean = sum(seen[odd, n] for n in set(sizes)) / 600 / len(sizes), sum(sizes) / len(sizes)
+            assert 0 < m < 1
+            for n in set(sizes):
+                p, trials = m + m * (1 - m) * (n / mean - 1), 600 * sizes.count(n)
+                # Pareto sampling meets the probabilities nearly; four deviations and a hundredth.
+                assert abs(seen[odd, n] / trials - p) < 0.01 + 4 * (p * (1 - p) / trials) ** 0.5, (odd, n)
+    # Inclusion is by size as well as by chance: not the documents of least u in each class.
+    u = lambda i, n: int(hashlib.md5(f"millrace-mix:{i}:{hashlib.md5(('w ' * n).encode()).hexdigest()}".encode()).hexdigest()[:13], 16)
+    by = defaultdict(list)
+    for r in got:
+        by[r.source, r.size > 24].append((u(r.doc_id, r.size), r.copies)) if r.size > 3 else None
+    in_order = [[c for _, c in sorted(x)] == sorted((c for _, c in x), reverse=True) for x in by.values()]
+    assert 0 < sum(in_order) < len(in_order)
+
+
+def test_equal_rows_at_a_samples_end(spark):
+    rows = [(1, "a", "x y z")] * 500 + [(None, "a", "p q r")] * 300 + [(k, "b", "w") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(6)
+    for broadcast_rows in (0, 1000):
+        got = mixing.mix(docs, weights=(1, 1), broadcast_rows=broadcast_rows).collect()
+        taken = {s: sum(r.taken for r in got if r.source == s) for s in "ab"}
+        assert len(got) == len(rows) and abs(taken["a"] - 1650) <= 3 and taken["b"] == 1650
+
+
+def test_many_sources_are_summed_by_ranges(spark):
+    sizes = {f"h{k}": k * k % 97 for k in range(300)} | {None: 40}
+    frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    kept = mixing.running_sums
+    try:
+        mixing.running_sums = lambda *a, **k: kept(*a, **k, one_task_rows=0)
+        got = {r.source: r.target for r in mixing.targets(frame.repartition(5)).collect()}
+    finally:
+        mixing.running_sums = kept
+    assert all(abs(got[s] - x) < 1e-6 for s, x in plain_targets(sizes).items())
+
+
+def test_running_sums_by_key(spark):
+    rows = [(k % 3 if k % 5 else None, k // 4, k) for k in range(200)] + [(7, 1, 1)] * 50
+    frame = spark.createDataFrame(rows, "k int, o int, v int").repartition(3)
+    for few in (0, 1000):
+        got = running_sums(frame, [F.col("o"), F.col("v")], {"n": F.lit(1), "s": F.col("v")}, by=("k",), one_task_rows=few).collect()
+        for key in (0, 1, 2, None, 7):
+            n = s = 0
+            for r in sorted((r for r in got if r.k == key), key=lambda r: (r.o, r.v, r.n)):
+                assert (r.n, r.s) == (n, s)
+                n, s = n + 1, s + r.v
+            assert n == sum(x[0] == key for x in rows)
+
+
+def test_join_with_hot_keys(spark, tmp_path):
+    spark.createDataFrame([(None if k % 50 == 0 else f"k{k % 40}" if k % 3 else "hot", k) for k in range(1000)], "k string, v int").write.parquet(f"{tmp_path}/l")
+    spark.createDataFrame([(f"k{k}", k) for k in range(30)] + [("hot", -1), (None, 5)], "k string, w int").write.parquet(f"{tmp_path}/r")
+    left, right = spark.read.parquet(f"{tmp_path}/l"), spark.read.parquet(f"{tmp_path}/r")
+    plain = sorted(map(tuple, left.join(right, "k").collect()))
+    for rows in (0, 1000):
+        assert sorted(map(tuple, join_unique(left, right, "k", rows=rows, hot_rows=100).collect())) == plain
+
+
 def test_mix_query(spark):
     assert check(spark, registry.op10_mixing, registry.ORACLE_SQL["op10_mixing"]) == 200
 
