@@ -27,7 +27,7 @@ def _unwrapped(wrapped: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Wrapped, with _id and a hash of the whole row: rows that agree in both are equal."""
+    """Wrapped, with _id and a hash of the whole row: rows that agree in both are taken to be equal."""
     return _wrapped(docs).withColumns({"_id": F.col("_rest.doc_id"), "_key": F.xxhash64("text", "_rest")})
 
 
@@ -56,13 +56,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    keyed = _keyed(docs)
-    taken = mixing.mix(keyed.select("_id", F.col("_rest.source").alias("_source"), "text", "_key"), "_id", source_col="_source")
-    copies = taken.groupBy(F.col("_id").alias("_i"), F.col("_key").alias("_k")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    # Equal rows are one row here, repeated as often as all of them are taken.
-    distinct = keyed.join(copies, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i"))).dropDuplicates(["_key", "_id"])
-    return _unwrapped(distinct.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))), docs)
+    """Each document as often as the mix takes it. No text is shuffled, nor is a row joined but to its class's row."""
+    wrapped = _wrapped(docs).withColumns({"_id": F.col("_rest.doc_id"), "_source": F.col("_rest.source")})
+    taken = mixing.mix(wrapped, "_id", source_col="_source", keep_text=True).where("copies > 0")
+    return _unwrapped(taken.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))), docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
