@@ -25,7 +25,7 @@ WEIGHTS = (5, 2, 1)
 #: A target is at most so many times its source's size.
 MOST_COPIES = 3
 #: Rows of a class in a slice, about.
-SLICE_ROWS = 10_000
+SLICE_ROWS = 1000
 SEED = "millrace-mix"
 
 

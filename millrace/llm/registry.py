@@ -71,7 +71,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("found", lambda s: s["kind"] != "id")
     count_of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count_of(k) for k in pii.KINDS if k != "id"]
-    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

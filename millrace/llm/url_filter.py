@@ -1,35 +1,32 @@
 """URL filters as a sort-merge range join of canonical keys with nested prefix rules.
 
 The key of a host and path is the host's labels in reverse, each with a dot, then the path: `com.example.www./en/1`.
-The rules that fit a URL are, for the host and each of its parent domains, the rules whose keys are prefixes of that
-domain's key with the URL's path. A rule's key is an interval of sorted keys, and intervals of prefixes nest. So rules
-and URLs are sorted together and swept: every rule carries the stack of the rules around it, the last rule before a
-URL's key is handed on, and the deepest rule on its stack that is a prefix of the key is the longest that fits.
-
-The main path is DataFrame operations only. The sweep runs in many slices at once: the sorted rules are cut into
-slices, each beginning at a rule and carrying that rule's whole stack, so no slice needs its neighbour; and a slice
-with many URLs is dealt over several tasks, each with the slice's few rules. No task holds a hot host.
+The rules that fit a URL are, for the host and each of its parent domains of as many labels as some rule has, the
+rules whose keys are prefixes of that domain's key with the URL's path. A rule's key is an interval of sorted keys, and
+intervals of prefixes nest. So rules and URL keys are sorted together and swept: every rule carries the stack of the
+rules around it, the last rule before a URL's key is handed on, and the deepest rule on its stack that is a prefix of
+the key is the longest that fits.
+
+The main path is DataFrame operations only. Sorting is by ranges, equal keys spread over several, and each range takes
+up the last rule of the ranges before it, one row per range: no task holds a hot host, and nothing goes through the
+driver but the few numbers of labels and lengths that rules have.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import broadcast_if_small, extras_apart, materialize
+from millrace.llm.common import BROADCAST_ROWS, extras_apart, join_unique, materialize
 
-#: Rules in a slice, and URL keys in a task, about.
-SLICE_RULES = 512
-TASK_KEYS = 100_000
 DEFAULT = "allow"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def host_of(url: Column) -> Column:
     """After the first `://` up to `/`, `?`, `#` or the end, A-Z in lower case; empty for null or without `://`."""
     found = F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(found, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(found, _UPPER, _LOWER)
 
 
 def path_of(url: Column) -> Column:
@@ -37,72 +34,63 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def domain_keys(host: Column) -> Column:
-    """Reversed keys of the host and its parent domains, shortest first: `com.`, `com.example.`; `.` for an empty host."""
-    labels = F.reverse(F.split(host, "\\."))
-    return F.transform(labels, lambda _, i: F.concat(F.array_join(F.slice(labels, 1, i + 1), "."), F.lit(".")))
+def domain_key(host: Column, labels: int) -> Column:
+    """The reversed key of the host's last `labels` labels: `com.`, `com.example.`; null for a host of fewer."""
+    ends = F.split(F.substring_index(host, ".", -labels), "\\.")
+    return F.when(F.size(ends) == labels, F.concat(F.array_join(F.reverse(ends), "."), F.lit(".")))
 
 
-def _rule_stacks(rules: DataFrame) -> DataFrame:
-    """(key, stack): each rule's key and the rules that are prefixes of it, itself last, as (key, rule, verdict).
+def _rule_stacks(rules: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(key, stack, labels): each rule's key, the rules that are prefixes of it, itself last, as (key, rule, verdict),
+    and the labels of its host.
 
-    The stack comes from an equi-join on prefixes: only lengths that some rule has need be tried.
+    The stack comes from an equi-join on prefixes; only lengths that some rule has are tried.
     """
-    host, path = F.coalesce("host", F.lit("")), F.coalesce("path", F.lit(""))
-    full = F.element_at(domain_keys(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), -1)
-    keyed = rules.select(F.concat(full, path).alias("key"), F.concat(host, path).alias("rule"), F.lower("verdict").alias("verdict"))
+    host, path = F.translate(F.coalesce("host", F.lit("")), _UPPER, _LOWER), F.coalesce("path", F.lit(""))
+    labels = F.reverse(F.split(host, "\\."))
+    named = rules.select(F.concat(F.array_join(labels, "."), F.lit("."), path).alias("key"), F.concat(F.coalesce("host", F.lit("")), path).alias("rule"), F.lower("verdict").alias("verdict"), F.size(labels).alias("labels"))
     # Of rules with equal keys a block goes before an allow.
-    keyed = materialize(keyed.where("verdict in ('allow', 'block')").groupBy("key").agg(F.max(F.struct("verdict", "rule")).alias("v")).select("key", "v.rule", "v.verdict"), "rules")
-    prefixes = keyed.select(F.col("key").alias("whole"), F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda n: F.substring("key", F.lit(1), n))).alias("key"))
-    each = prefixes.join(keyed, "key").groupBy("whole").agg(F.sort_array(F.collect_list(F.struct("key", "rule", "verdict"))).alias("stack"))
-    return each.select(F.col("whole").alias("key"), "stack")
-
-
-def _last_not_above(sorted_keys: list[str], key: Column) -> Column:
-    """Index of the last of sorted_keys that is not above key, by bisection; -1 if there is none."""
-    keys = F.from_json(F.lit(json.dumps(sorted_keys)), "array<string>")
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(sorted_keys).bit_length() or 1))])
-    return F.aggregate(steps, F.lit(-1), lambda at, step: F.when(F.coalesce(F.get(keys, at + step) <= key, F.lit(False)), at + step).otherwise(at))
-
-
-def _slices(stacks: DataFrame, slice_rules: int) -> DataFrame:
-    """Adds `slice`: the sorted rules, cut about every slice_rules rules. One task sorts the rules, never the URLs."""
-    return stacks.withColumn("slice", F.floor((F.row_number().over(Window.orderBy("key")) - 1) / slice_rules).cast("int"))
+    once = named.where("verdict in ('allow', 'block')").groupBy("key").agg(F.max(F.struct("verdict", "rule", "labels")).alias("v"))
+    keyed = materialize(once.select("key", "v.rule", "v.verdict", "v.labels"), "rules")
+    # No more lengths than the longest rule has characters.
+    lengths = sorted(r[0] for r in keyed.select(F.length("key")).distinct().collect())
+    tried = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("whole"))
+    prefixes = keyed.select(F.col("key").alias("whole"), F.col("labels").alias("of")).select("whole", "of", F.explode(F.transform(tried, lambda n: F.substring("whole", F.lit(1), n))).alias("key"))
+    each = join_unique(materialize(prefixes, "prefixes"), keyed, "key", broadcast_rows)
+    return each.groupBy("whole").agg(F.sort_array(F.collect_list(F.struct("key", "rule", "verdict"))).alias("stack"), F.first("of").alias("labels")).withColumnRenamed("whole", "key")
 
 
 @extras_apart("url_col")
-def filter_urls(
-    pages: DataFrame,
-    rules: DataFrame,
-    url_col: str = "url",
-    default: str = DEFAULT,
-    slice_rules: int = SLICE_RULES,
-    task_keys: int = TASK_KEYS,
-) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = DEFAULT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """pages with host, path, rule and verdict. rules has the columns host, path and verdict (allow or block).
 
     A rule fits its host and all subdomains if the URL's path starts with the rule's. Of the rules that fit, the one
     with the longest text (host and path) wins, of equally long ones the one with the longer host, then block. Without
     one, rule is null and verdict is `default`. Rules with another verdict are ignored, null hosts and paths of rules
     are empty, and an empty host fits an empty host only. Null and malformed URLs have an empty host and path.
-    Repeated rows are judged each; other columns pass through, and ones named as a result give way.
+    Repeated rows are judged each; other columns pass through, and ones named as a result give way. A URL makes one
+    key for each number of labels that rules have, so a host of very many labels makes no more than others.
     """
     results = ["host", "path", "rule", "verdict"]
     rest = [c for c in pages.columns if c.lower() not in results]
     read = materialize(pages.select(*rest, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.monotonically_increasing_id().alias("_row")), "urls")
-    swept = materialize(_slices(_rule_stacks(rules), slice_rules), "stacks")
-    # One key per slice_rules rules comes to the driver; each URL key finds its slice by bisecting them.
-    lows = [r[0] for r in swept.groupBy("slice").agg(F.min("key").alias("low")).orderBy("slice").select("low").collect()]
-    probes = read.select("_row", F.explode(domain_keys(F.col("host"))).alias("domain"), "path").select("_row", F.concat("domain", "path").alias("key"))
-    sliced = probes.withColumn("slice", _last_not_above(lows, F.col("key"))).where("slice >= 0")
-    tasks = sliced.groupBy("slice").agg(F.ceil(F.count("*") / task_keys).cast("int").alias("tasks"))
-    tasks = broadcast_if_small(materialize(tasks, "tasks"))
-    dealt = sliced.join(tasks, "slice").select("slice", F.pmod(F.xxhash64("_row"), F.col("tasks")).cast("int").alias("task"), "key", "_row", F.lit(None).cast(swept.schema["stack"].dataType).alias("stack"))
-    openings = swept.join(tasks, "slice").select("slice", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "key", F.lit(None).cast("bigint").alias("_row"), "stack")
-    sweep = Window.partitionBy("slice", "task").orderBy("key", F.col("_row").asc_nulls_first())
-    active = F.last("stack", ignorenulls=True).over(sweep)
-    met = dealt.unionByName(openings).withColumn("active", active).where("_row is not null")
-    fits = met.select("_row", F.element_at(F.concat(F.array(F.lit(None)), F.filter("active", lambda r: F.col("key").startswith(r["key"]))), -1).alias("r")).where("r is not null")
+    stacks = materialize(_rule_stacks(rules, broadcast_rows), "stacks")
+    depths = sorted(r[0] for r in stacks.select("labels").distinct().collect())
+    keys = F.array_compact(F.array(*[domain_key(F.col("host"), n) for n in depths])).cast("array<string>")
+    probes = read.select("_row", F.explode(keys).alias("domain"), "path").select(F.concat("domain", "path").alias("key"), "_row")
+    kind = stacks.schema["stack"].dataType
+    both = stacks.select("key", F.lit(None).cast("bigint").alias("_row"), "stack").unionByName(probes.withColumn("stack", F.lit(None).cast(kind)))
+    spread = F.xxhash64("_row")
+    ranges = materialize(both.repartitionByRange("key", F.col("_row").isNotNull(), spread).withColumn("_range", F.spark_partition_id()), "ranges")
+    # The last rule up to the end of each range, for the next one; one row per range.
+    last = ranges.where("_row is null").groupBy("_range").agg(F.max(F.struct("key", "stack"))["stack"].alias("_last"))
+    last = ranges.select("_range").distinct().join(last, "_range", "left")
+    taken_up = last.select("_range", F.last("_last", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    taken_up = materialize(taken_up.where("_before is not null"), "last")
+    sweep = Window.partitionBy("_range").orderBy("key", F.col("_row").asc_nulls_first())
+    swept = ranges.withColumn("_here", F.last("stack", ignorenulls=True).over(sweep)).where("_row is not null")
+    active = swept.join(F.broadcast(taken_up), "_range", "left").select("_row", "key", F.coalesce("_here", "_before").alias("stack"))
+    fits = active.select("_row", F.element_at(F.concat(F.array(F.lit(None)), F.filter("stack", lambda r: F.col("key").startswith(r["key"]))), -1).alias("r")).where("r is not null")
     best = fits.groupBy("_row").agg(F.max(F.struct(F.length("r.rule"), F.length(F.substring_index("r.rule", "/", 1)), "r.verdict", "r.rule")).alias("best"))
     return read.join(best, "_row", "left").select(*rest, "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
 

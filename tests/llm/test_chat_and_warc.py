@@ -1,10 +1,13 @@
 import base64
+import decimal
 import hashlib
 import io
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millrace.llm import chat, registry, warc
 from tests.oracle import SF_DIR, check
@@ -15,25 +18,32 @@ TEXT = st.lists(st.sampled_from(["\\", "###", "#", "</turn>", " </turn>\n", ": "
 @settings(deadline=None, max_examples=200)
 @given(st.lists(st.tuples(TEXT, TEXT), max_size=5))
 def test_turns_survive_the_template(turns):
-    formatted = "".join(chat._Turn(r, t, 0).formatted for r, t in turns)
+    formatted = "".join(chat._Turn(r, t).formatted for r, t in turns)
     assert [(r, t) for r, t, _, _ in chat.parse(formatted)] == turns
 
 
-@settings(deadline=None, max_examples=100)
-@given(st.lists(st.tuples(st.sampled_from(["system", "user", "assistant"]), st.integers(0, 9)), max_size=30), st.integers(1, 20))
-def test_windows_hold_every_turn_once(turns, budget):
-    rows = [(1, role, f"{k} " * n) for k, (role, n) in enumerate(turns)]
-    windows = list(chat._cut(iter(rows), budget, 2, 6, chat.count_tokens))
+def check_windows(windows, turns, budget):
+    """windows: rows of one conversation, sorted; turns: its (role, text)."""
     seen, loss = [], []
-    for _, number, first, n_new, repeated, tokens, formatted, spans in windows:
+    for first, n_new, repeated, tokens, formatted, spans in windows:
         found = [(r, t) for r, t, _, _ in chat.parse(formatted)]
         assert first == len(seen) and len(found) == repeated + n_new and n_new
-        if number and turns[0][0] == "system":
-            assert found[0] == rows[0][1:]
-        assert tokens <= budget or n_new == 1
+        assert tokens == sum(chat.count_tokens(chat._Turn(r, t).formatted) for r, t in found) == chat.count_tokens(formatted)
+        assert tokens <= budget or (n_new == 1 and repeated == 0)
+        if first and turns[0][0] == "system":
+            fits = chat.count_tokens(chat._Turn(*turns[0]).formatted + chat._Turn(*turns[first]).formatted) <= budget
+            assert (repeated > 0 and found[0] == turns[0]) == fits
         seen += found[repeated:]
         loss += [chat.unescape(formatted[a:b]) for a, b in spans]
-    assert seen == [r[1:] for r in rows] and loss == [t for _, r, t in rows if r == "assistant"]
+    assert seen == turns and loss == [t for r, t in turns if r == "assistant"]
+
+
+@settings(deadline=None, max_examples=100)
+@given(st.lists(st.tuples(st.sampled_from(["system", "user", "assistant"]), st.integers(0, 9)), max_size=30), st.integers(1, 60))
+def test_windows_hold_every_turn_once(turns, budget):
+    turns = [(role, f"{k} " * n) for k, (role, n) in enumerate(turns)]
+    windows = list(chat._cut(iter([(1, 0, False, None, *t) for t in turns]), budget, 2, 24, chat.count_tokens))
+    check_windows([w[1:] for w in windows], turns, budget)
 
 
 def digests(rows):
@@ -53,14 +63,59 @@ def test_query_against_the_rows(spark):
 
 def test_small_budget_nulls_and_repeats(spark):
     rows = [(1, k, "system" if not k else ("user", "assistant")[k % 2], f"turn {k} " * 5) for k in range(20)] + [(None, 1, None, None), (None, None, "assistant", ""), (2, 0, "assistant", "x"), (2, 0, "assistant", "x")]
-    frame = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn int, role string, text string, window string")
-    windows = chat.format_windows(frame, budget=40)
+    frame = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn int, role string, text string, first_turn string")
+    windows = chat.format_windows(frame, budget=80)
     assert windows.where("conv_id = 1").count() > 3
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(windows).collect()}
     assert got == {1: digests([r[2:] for r in rows[:20]]), None: digests([("assistant", ""), (None, None)]), 2: digests([("assistant", "x")] * 2)}
     assert chat.read_back(chat.format_windows(frame.limit(0))).count() == 0
 
 
+def test_ids_come_back_as_they_were(spark):
+    large = 9007199254740993
+    for kind, ids in (("long", [large, large - 1, None]), ("string", ["", "a", None]), ("decimal(30,2)", [decimal.Decimal("1.20"), None]), ("struct<a:int,b:string>", [(1, None), (1, "x"), None]), ("double", [float("nan"), 1.5])):
+        rows = [(i, k, "user", f"{i} {k}") for k in range(3) for i in ids]
+        got = chat.read_back(chat.format_windows(spark.createDataFrame(rows, f"conv_id {kind}, turn int, role string, text string"))).collect()
+        assert Counter(repr(tuple(r.conv_id) if isinstance(r.conv_id, tuple) else r.conv_id) for r in got) == Counter(map(repr, ids))
+        assert all(r.n_turns == 3 for r in got)
+
+
+def test_budget_counts_the_turns_as_laid_out():
+    ok = [(1, 0, False, None, "user", "ok")] * 3000
+    assert all(w[4] <= 2048 and w[4] == chat.count_tokens(w[5]) for w in chat._cut(iter(ok), 2048, 2, 512, chat.count_tokens))
+    with_system = [(1, 0, False, None, "system", "s " * 2020)] + [(1, 0, False, None, "user", "w " * 20)] * 9
+    assert all(w[4] <= 2048 for w in chat._cut(iter(with_system), 2048, 2, 512, chat.count_tokens))
+
+
+def test_windows_read_back_from_any_order(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    windows = chat.format_windows(turns, budget=300)
+    assert windows.count() > turns.select("conv_id").distinct().count()
+    plain, dealt = (sorted(map(tuple, chat.read_back(w).collect())) for w in (chat.format_windows(turns, budget=300), windows.repartition(7)))
+    assert plain == dealt and len(plain) == 100
+
+
+def test_long_conversations_in_chunks(spark):
+    """Of a hot conversation, and of the rows without an id; many empty turns; one very long text."""
+    rows = [(5, k, "system" if not k else ("user", "assistant")[k % 2], f"turn {k} ### " * (k % 7)) for k in range(3000)]
+    rows += [(None, k // 3, "assistant", f"{k}") for k in range(1000)] + [(6, 0, "user", "short")] + [(7, 0, "user", "y"), (7, 1, "assistant", "long text </turn>\n" * 20_000)]
+    frame = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").repartition(5)
+    windows = chat.format_windows(frame, budget=400, chunk_chars=5000)
+    by = {}
+    for r in windows.collect():
+        by.setdefault(r.conv_id, []).append(tuple(r)[1:])
+    # Equal turn numbers are in the order of a hash.
+    order = {r: k for k, r in enumerate(map(tuple, frame.orderBy("conv_id", "turn", "role", F.xxhash64("text")).collect()))}
+    for conv_id, found in by.items():
+        check_windows(sorted(found), [r[2:] for r in sorted((r for r in rows if r[0] == conv_id), key=order.get)], 400)
+    # A window after a chunk's begin repeats the turns before it as any other does.
+    assert all(w[2] >= 2 for w in by[5] if w[0]) and len(by[5]) > 30
+    whole = {r.conv_id: r[1:5] for r in chat.read_back(chat.format_windows(frame)).collect()}
+    assert {r.conv_id: r[1:5] for r in chat.read_back(windows).collect()} == whole
+    many = spark.range(100_000).select(F.lit("hot").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.lit("").alias("text"))
+    assert chat.format_windows(many).agg(F.sum("n_new"), F.max("n_tokens")).first()[:] == (100_000, 2043)
+
+
 def test_archive_round_trip():
     records = [warc.record(i, f"http://a/{i} é\r\n", (f"<p>{i}</p>" * i).encode(), warc.payload_digest((f"<p>{i}</p>" * i).encode()), None, False) for i in range(40)]
     for dictionary in (warc.build_dictionary(records), warc.build_dictionary([])):

@@ -39,7 +39,7 @@ def operators(spark):
         "quality_rules": (lambda d: quality_rules.quality_rules(d, quality_rules.ngram_log_ratios(d, d.limit(0))), ["kept", "n_words"]),
         "simhash": (simhash.near_duplicates, ["fp", "component_id"]),
         "classifier": (lambda d: compression_classifier.score(d, model), ["score", "predicted"]),
-        "urls": (lambda d: url_filter.filter_urls(d.withColumnRenamed("text", "url"), rules), ["rule", "verdict"]),
+        "urls": (lambda d: url_filter.filter_urls(d.withColumn("text", F.when(F.col("doc_id") == 5, F.concat(F.lit("HTTP://"), "text")).otherwise(F.col("text"))).withColumnRenamed("text", "url"), rules), ["rule", "verdict"]),
         "decontamination": (lambda d: decontaminate.find_contamination(d, benchmark), ["matches"]),
         "sharding": (sharding.shard, ["shard", "slot", "size"]),
         "pii": (pii.personal_data, ["found"]),

@@ -200,3 +200,57 @@ def test_contexts_of_seeds_find_other_identifiers(spark):
     docs = spark.createDataFrame([*seeds, (90, "please call my number 0049-177-5550 today"), (91, "see page 12345678 here")], "doc_id long, text string")
     found = {r.doc_id: [(s.kind, s.start) for s in r.found] for r in pii.personal_data(docs).collect()}
     assert found[90] == [("id", 22)] and found[91] == [] and found[3] == [("phone", 22)]
+
+
+#: Contexts of 60 seeds each, and the form of the identifiers no rule knows that stand in them.
+CONTEXTS = {"email": ("write to me at {} please", "u{0}@intranet"), "ip": ("logged in from {} again", "fe80.{0:04d}.x"), "card": ("paid by card {} in full", "CARD-{0:05d}"), "phone": ("call my number {} today", "0049-{0:05d}")}
+SEED = {"email": "name{0}@mail.example.com", "ip": "10.1.7.{0}", "card": "4111 1111 1111 {0}", "phone": "+1 (212) 555-{0:04d}"}
+HOP = "customer record {} was opened"
+
+
+def planted_identifiers(rng):
+    """(documents, {doc_id: identifier}) of first contexts, of a second one that only identifiers of the first share,
+    and of neither."""
+    docs, first, second, decoys = [], {}, {}, {}
+    for kind, (context, form) in CONTEXTS.items():
+        plain = lambda k: f"4111 1111 1111 {next(c for c in range(1000 * (k % 9 + 1) + 10 * k, 9999) if plain_spans(f'4111 1111 1111 {c}'))}" if kind == "card" else SEED[kind].format(k)  # noqa: B023, E731
+        docs += [(len(docs) + k, f"{context.format(plain(k))} and w{rng.random()}") for k in range(60)]
+        for k in range(20):
+            first[len(docs)] = form.format(k)
+            docs.append((len(docs), f"{'long' * 40} {context.format(form.format(k))} and so on"))
+    for k in range(12):
+        docs.append((len(docs), HOP.format(CONTEXTS["phone"][1].format(k))))
+    for k in range(8):
+        second[len(docs)] = f"KX{k}77-{k}123"
+        docs.append((len(docs), HOP.format(second[len(docs)])))
+    for k in range(40):
+        decoys[len(docs)] = f"{k}00-PART-{k}"
+        docs.append((len(docs), f"order part {decoys[len(docs)]} from stock"))
+    return docs, first, second, decoys
+
+
+def test_recall_of_identifiers_in_contexts_of_seeds_and_of_identifiers(spark):
+    docs, first, second, decoys = planted_identifiers(np.random.default_rng(3))
+    text = dict(docs)
+    for broadcast_rows in (0, 1000):
+        got = {r.doc_id: [text[r.doc_id][s.start : s.end] for s in r.found if s.kind == "id"] for r in pii.personal_data(spark.createDataFrame(docs, "doc_id long, text string"), broadcast_rows=broadcast_rows).collect()}
+        for expected in (first, second):
+            assert sum(v in got[i] for i, v in expected.items()) >= 0.9 * len(expected)
+        assert not any(v in got[i] for i, v in decoys.items())
+    # One round finds the first only.
+    once = {r.doc_id: len(r.found) for r in pii.personal_data(spark.createDataFrame(docs, "doc_id long, text string"), rounds=1).collect()}
+    assert all(once[i] for i in first) and not any(once[i] for i in second)
+
+
+def test_keys_are_found_in_contexts_of_keys_only(spark):
+    sha = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
+    docs = [(k, f'the token = "{sha(k)}" of w{k}') for k in range(9)] + [(20, f"x{sha(77)} {sha(20)} alone"), (21, "")] + [(30 + k, f'my token = "{sha(k)}A{"9" * 90}"') for k in range(2)]
+    got = {r.doc_id: [s.kind for s in r.found] for r in pii.personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[k] == ["id"] for k in [*range(9), 30, 31]) and got[20] == got[21] == []
+
+
+def test_secrets_of_the_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    for r in spark.read.parquet(f"{sf}/documents.parquet").join(registry.op9_personal_data(spark, sf), "doc_id").where("text like '%token = %'").collect():
+        for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text):
+            assert f"id:{m.start(1)}:{m.end(1)}" in r.spans.split(",")

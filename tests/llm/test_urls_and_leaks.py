@@ -1,4 +1,6 @@
 import random
+from collections import Counter
+from contextlib import contextmanager
 
 import pytest
 
@@ -8,6 +10,18 @@ from millrace.llm import url_filter as uf
 from tests.oracle import SF_DIR, check
 
 
+@contextmanager
+def conf(spark, values):
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def split(url):
     if not url or "://" not in url:
         return "", ""
@@ -29,20 +43,30 @@ def test_query(spark):
     assert check(spark, registry.op6_url_filter, registry.ORACLE_SQL["op6_url_filter"]) == 50
 
 
-@pytest.mark.parametrize(("slice_rules", "task_keys"), [(3, 10), (512, 100_000)])
-def test_random_rules_against_brute_force(spark, slice_rules, task_keys):
+@pytest.mark.parametrize(("broadcast_rows", "ranges"), [(0, 40), (1000, 3)])
+def test_random_rules_against_brute_force(spark, broadcast_rows, ranges):
     rng = random.Random(5)
     hosts = ["com", "a.com", "b.a.com", "xa.com", "net", "c.b.a.com", "é.net"]
     paths = ["", "/", "/e", "/en", "/en/", "/en/x", "/f"]
     rules = sorted({(h, p): (rng.choice(["allow", "block"]), h, p) for h in rng.sample(hosts, 5) for p in rng.sample(paths, 4)}.values())
     urls = [f"http://{h}{p}{q}" for h in [*hosts, "A.COM", "org", ""] for p in [*paths, "/en/x/y"] for q in ("", "?a://b/", "#z")] + [None, "", "a.com/en", "ftp://a.com:80/"]
     pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate([*urls, *urls[:5]])], "page_id long, url string, rule string")
-    got = uf.filter_urls(pages, uf.rules_frame(spark, rules), slice_rules=slice_rules, task_keys=task_keys).collect()
+    with conf(spark, {"spark.sql.shuffle.partitions": str(ranges), "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        got = uf.filter_urls(pages, uf.rules_frame(spark, rules), broadcast_rows=broadcast_rows).collect()
     assert len(got) == pages.count()
     for r in got:
         assert (r.host, r.path, r.rule, r.verdict) == verdict(r.url, rules), r.url
 
 
+def test_hosts_of_very_many_labels_and_one_hot_url(spark):
+    many = "http://" + "a." * 100_000 + "Example.com/en/" + "x" * 50_000
+    pages = spark.createDataFrame([(1, many), (2, "http://" + "b." * 20_000 + "org"), (3, "http://" + "c" * 100_000)] + [(9, "http://hot.com/x")] * 3000, "page_id long, url string")
+    rules = [("block", "example.com", "/en/"), ("allow", "com", "/"), ("block", "hot.com", "/x"), ("block", "a.b.c.d.example.com", "/")]
+    with conf(spark, {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        got = uf.filter_urls(pages, uf.rules_frame(spark, rules)).select("page_id", "rule", "verdict").collect()
+    assert Counter(map(tuple, got)) == Counter({(1, "example.com/en/", "block"): 1, (2, None, "allow"): 1, (3, None, "allow"): 1, (9, "hot.com/x", "block"): 3000})
+
+
 def test_no_rules_and_no_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     assert [r.verdict for r in uf.filter_urls(pages, uf.rules_frame(spark, [])).collect()] == ["allow"]
