@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def sessionize(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
-    """events with session_no, counting each key's sessions from 1. A null time begins a key's first session."""
-    order = Window.partitionBy(key).orderBy(ts)
+    """events with session_no, counting each key's sessions from 1. Events without a time are in the key's first session,
+    and so is the first event with one. Rows of a null key are one key. A column named session_no gives way."""
+    order = Window.partitionBy(key).orderBy(F.col(ts).asc_nulls_first())
     before = F.lag(ts).over(order)
-    new = F.when(before.isNull() | (F.col(ts) > before + F.expr(f"interval {gap_seconds} seconds")), 1).otherwise(0)
-    flagged = events.withColumn("_new", new)
-    return flagged.withColumn("session_no", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, 0))).drop("_new")
+    new = F.when(F.row_number().over(order) == 1, 1).when(before.isNotNull() & (F.col(ts) > before + F.expr(f"interval {gap_seconds} seconds")), 1).otherwise(0)
+    flagged = events.drop("session_no").withColumn("_new_session", new)
+    return flagged.withColumn("session_no", F.sum("_new_session").over(order.rangeBetween(Window.unboundedPreceding, 0))).drop("_new_session")
