@@ -8,15 +8,17 @@ each word's largest score in each range of the items pass by the passages whose
 threshold in any range: WAND's test by block bounds, applied to all passages at once. For the others, block-max WAND retrieves all items above the
 threshold, and each is verified: enough five-word shingles of its question and of its answer must be in the passage.
 
-The index holds a block of items at a time and is sent to the executors, weighed by the words of all items, whose
-frequencies the driver counts; documents are searched in their partitions,
-without a shuffle.
+A benchmark of one block (BLOCK_ITEMS, BLOCK_CHARS), as usual, is searched in one pass: its index is sent to the
+executors, built once in each worker, and documents are searched in their partitions, without a shuffle. A larger one
+is cut into blocks by prefix sums, and each block is a pass of its own over the documents, so that one index is held
+at a time; Spark counts the words of all items, and every block is weighed by them. So scores do not depend on blocks.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Mapping
@@ -25,11 +27,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import extras_apart
+from millrace.llm.common import broadcast_if_small, extras_apart, materialize, running_sums
 
 K1, B = 1.2, 0.75
 #: Of the item's score for its own text.
@@ -198,19 +201,64 @@ def _share(part: set[tuple[str, ...]], inside: set[tuple[str, ...]], passage: li
 
 
 MATCHES = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
-
-
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    block: list[tuple[int, str]] = []
-    chars = 0
-    for r in items.orderBy("item_id", "text").toLocalIterator():
-        if block and (len(block) == BLOCK_ITEMS or chars + len(r["text"]) > BLOCK_CHARS):
-            yield block
-            block, chars = [], 0
-        block.append((r["item_id"], r["text"]))
-        chars += len(r["text"])
-    if block:
-        yield block
+_KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
+#: The index that a worker built last, by the name of its search.
+_built: dict[str, Index] = {}
+
+
+def _index(name: str, sent: Broadcast) -> Index:
+    if name not in _built:
+        _built.clear()
+        _built[name] = Index(*sent.value)
+    return _built[name]
+
+
+def _search(docs: DataFrame, text_col: str, sent: Broadcast, threshold: float, overlap: float) -> DataFrame:
+    """docs with `matches` of one block of items."""
+    at, names, name = docs.columns.index(text_col), [f.name for f in _KIND.value_type], uuid.uuid4().hex
+    out = T.StructType([*docs.schema.fields, T.StructField("matches", docs.sparkSession.createDataFrame([], f"m {MATCHES}").schema[0].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(name, sent)
+        for b in batches:
+            rows = [[dict(zip(names, m, strict=True)) for m in index.matches(text.as_py() or "", threshold, overlap)] for text in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, _KIND)], names=[*b.schema.names, "matches"])
+
+    return docs.mapInArrow(run, out)
+
+
+def _item_words(items: DataFrame) -> DataFrame:
+    """(block, word, n): each item's different words with n null, and a row without a word with the number of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for block, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = tokens(text)
+                rows += [(block, w, None) for w in sorted(set(found))] + [(block, None, len(found))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["block", "word", "n"])
+
+    return items.select("block", "text").mapInArrow(run, "block string, word string, n long")
+
+
+def _blocks(items: DataFrame) -> Iterator[tuple[list[tuple[int, str]], Statistics | None]]:
+    """The blocks of a benchmark in order, one in the driver at a time, each with the statistics of all; none if it is all."""
+    order = [F.col("item_id").asc_nulls_first(), F.col("text")]
+    collected = lambda df: [(r["item_id"], r["text"]) for r in df.orderBy(*order).collect()]
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    if n <= BLOCK_ITEMS and chars <= BLOCK_CHARS:
+        if n:
+            yield collected(items), None
+        return
+    placed = running_sums(materialize(items, "items"), order, {"_n": F.lit(1), "_chars": F.length("text")})
+    block = F.concat_ws("|", F.floor(F.col("_n") / BLOCK_ITEMS), F.floor(F.col("_chars") / BLOCK_CHARS))
+    placed = materialize(placed.select("item_id", "text", block.alias("block")), "blocks")
+    words = materialize(_item_words(placed), "words")
+    frequency = materialize(words.where("word is not null").groupBy("word").agg(F.count("*").alias("items")), "frequency")
+    with_words, all_words = words.where("word is null and n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    for (name,) in sorted(map(tuple, placed.select("block").distinct().collect())):
+        own = words.where((F.col("block") == name) & F.col("word").isNotNull()).select("word").distinct().join(frequency, "word")
+        yield collected(placed.where(F.col("block") == name)), Statistics({r["word"]: r["items"] for r in own.collect()}, with_words, all_words)
 
 
 @extras_apart("text_col")
@@ -221,28 +269,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     length is a match, if it scores, at every place in the text. One that spreads them over more than 2.5
     times that length is not; between the two, the place decides. Null
     texts and texts or items without words match nothing; items of a null id match with a null id; repeated items each
-    match. Each block of items is one more pass over the documents; BM25's statistics are those of all items. Rows
+    match. BM25's statistics are those of all items. Rows
     stay as they are; other columns pass through, and one named matches gives way. Without items, matches is empty.
     """
     rest = docs.drop("matches")
-    at, out = rest.columns.index(text_col), T.StructType([*rest.schema.fields, T.StructField("matches", rest.sparkSession.createDataFrame([], f"m {MATCHES}").schema[0].dataType)])
-    found = rest.withColumn("matches", F.array().cast(MATCHES))
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
-    names = [f.name for f in kind.value_type]
-    items = benchmark.select(F.col("item_id").cast("bigint"), "text").where("text is not null")
-    whole = statistics(r["text"] for r in items.select("text").toLocalIterator())
-    for block in _blocks(items):
-        own = {w for _, t in block for w in tokens(t)}
-        sent = rest.sparkSession.sparkContext.broadcast((block, whole._replace(frequency={w: whole.frequency[w] for w in own})))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(*sent.value)
-            for b in batches:
-                rows = []
-                for text, before in zip(b.column(at), b.column(b.num_columns - 1), strict=True):
-                    new = [dict(zip(names, m, strict=True)) for m in index.matches(text.as_py() or "", threshold, overlap)]
-                    rows.append((before.as_py() or []) + new)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, kind)], names=b.schema.names)
-
-        found = found.mapInArrow(run, out)
-    return found
+    send = rest.sparkSession.sparkContext.broadcast
+    blocks = _blocks(benchmark.select(F.col("item_id").cast("bigint"), "text").where("text is not null"))
+    first = next(blocks, None)
+    if first is None:
+        return rest.withColumn("matches", F.array().cast(MATCHES))
+    if first[1] is None:
+        return _search(rest, text_col, send(first), threshold, overlap)
+    # The rows are written once with a number, so that every pass numbers them alike.
+    numbered = materialize(rest.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    found = None
+    while first:
+        sent = send(first)
+        part = materialize(_search(numbered.select("_row", text_col), text_col, sent, threshold, overlap).where(F.size("matches") > 0).select("_row", "matches"), "matches")
+        sent.destroy()
+        found, first = part if found is None else found.union(part), next(blocks, None)
+    by_row = broadcast_if_small(materialize(found.groupBy("_row").agg(F.flatten(F.collect_list("matches")).alias("matches")), "matches"))
+    return numbered.join(by_row, "_row", "left").select(*rest.columns, F.coalesce("matches", F.array().cast(MATCHES)).alias("matches"))

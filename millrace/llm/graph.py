@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import discard, materialize
 
 #: Steps double the reach of a label, so this many serve any graph that can be stored.
 MAX_ROUNDS = 64
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.where("a <> b").distinct(), "edges")
     before = None
     for _ in range(MAX_ROUNDS):
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        old, edges = edges, materialize(_small_star(_large_star(edges)), "edges")
+        discard(old)
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

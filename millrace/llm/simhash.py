@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import extras_apart, materialize
+from millrace.llm.common import BROADCAST_ROWS, extras_apart, join_unique, materialize
 from millrace.llm.graph import connected_components
 
 RADIUS = 3
@@ -114,7 +114,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, cap: int = CAP) -> Dat
 
 
 @extras_apart("id_col", "text_col")
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, cap: int = CAP) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, cap: int = CAP, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Each row of docs without its text, with `fp`, `root` (the component's smallest fingerprint) and `component_id`.
 
     Documents whose fingerprints differ in at most `radius` bits are linked; component_id is the smallest id reachable
@@ -129,5 +129,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(near_links(distinct.select("fp"), radius, cap))
     member = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     member = materialize(member, "member")
-    class_of = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(member.join(class_of, "root").select("fp", "root", "component_id"), "fp")
+    class_of = materialize(member.groupBy("root").agg(F.min("least").alias("component_id")), "classes")
+    member = materialize(join_unique(member, class_of, "root", broadcast_rows).select("fp", "root", "component_id"), "member")
+    # Many documents may share a fingerprint, and many fingerprints a root.
+    return join_unique(marked, member, "fp", broadcast_rows)

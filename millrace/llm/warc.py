@@ -16,6 +16,7 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 import zstandard
@@ -28,8 +29,8 @@ from millrace.llm.common import BROADCAST_ROWS, broadcast_if_small, materialize
 SKIPPABLE = 0x184D2A5D
 LEVEL = 6
 DICTIONARY_BYTES = 65_536
-SAMPLE_RECORDS = 1000
-SAMPLE_BYTES = 16_384
+#: The dictionary is built from so many records and bytes of whole payloads at most.
+SAMPLE_RECORDS, SAMPLE_BYTES = 1000, 16_384_000
 ARCHIVE_BYTES = 64 << 20
 #: Fixed, so that the same records give the same archives.
 DATE = "2024-01-01T00:00:00Z"
@@ -126,6 +127,26 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0, broadcast_rows: int = BR
     return joined.select("page_id", "url", "html", "sha1", refers.alias("refers_to"))
 
 
+def _sample(pages: DataFrame, records: int = SAMPLE_RECORDS, size: int = SAMPLE_BYTES) -> list[bytes]:
+    """Whole payloads in the order of a hash, equal ones together, as long as they are within both bounds; only one that
+    is larger than all of them may be, or of more equal ones than that, is passed over."""
+    data = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
+    hashed = pages.select(F.xxhash64("page_id", data).alias("h"), F.octet_length(data).alias("n"), data.alias("data"))
+    fits = hashed.where(F.col("n") <= size)
+    # First the hash up to which they are within the bounds, from the sizes alone; then those payloads.
+    total, last, groups = 0, None, groupby(fits.select("h", "n").orderBy("h", "n").limit(records + 1).collect(), lambda r: r["h"])
+    count = 0
+    for h, same in groups:
+        sizes = [r["n"] for r in same]
+        count, total = count + len(sizes), total + sum(sizes)
+        if count > records or total > size:
+            break
+        last = h
+    if last is None:
+        return []
+    return [bytes(r["data"]) for r in fits.where(F.col("h") <= last).orderBy("h", "n").limit(records).collect()]
+
+
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Writes a record per row of pages (page_id, url, html) to `.warc.zst` archives in the folder path; returns the
     manifest (path, records, bytes), a row per archive, already written.
@@ -133,16 +154,11 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
     path is a URI that driver and executors reach by pyarrow's file systems (file, hdfs, s3, gs). A null html is an
     empty payload, a null url leaves out the target header; a null page_id is written as None and is smallest. Rows
     that repeat a page_id and payload are each a response if they hold the largest id, else each a revisit. Other
-    columns are left out. No rows give no archive. The dictionary is built from at most SAMPLE_RECORDS records, by a
-    hash of their id, and SAMPLE_BYTES bytes of each.
+    columns are left out. No rows give no archive. The dictionary is built from at most SAMPLE_RECORDS records with whole
+    payloads of SAMPLE_BYTES bytes together, in the order of a hash of id and payload; all pages are archived.
     """
     marked = with_revisits(pages, min_bytes, broadcast_rows)
-    # First the hash that SAMPLE_RECORDS records do not exceed, from the ids alone; then those records.
-    order = F.xxhash64("page_id")
-    least = pages.select(order.alias("h")).orderBy("h").limit(SAMPLE_RECORDS).agg(F.max("h")).first()[0]
-    picked = pages.where(order <= least) if least is not None else pages.limit(0)
-    heads = picked.select("page_id", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html")).limit(SAMPLE_RECORDS)
-    sample = [r["html"].encode()[:SAMPLE_BYTES] for r in sorted(heads.collect(), key=lambda r: (r["page_id"] is not None, r["page_id"], r["html"]))]
+    sample = _sample(pages)
     dictionary = build_dictionary([record(k, "", x, payload_digest(x), None, False) for k, x in enumerate(sample)])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -127,6 +127,16 @@ def test_archive_round_trip():
             list(warc.read_records(io.BytesIO(w.out.getvalue()[:-3])))
 
 
+def test_dictionary_sample_of_whole_payloads(spark):
+    pages = spark.createDataFrame([(k, "p" * (100 + k)) for k in range(50)] + [(99, "q" * 9000), (None, None)] + [(7, "same" * 40)] * 9, "page_id long, html string")
+    whole = {("p" * (100 + k)).encode() for k in range(50)} | {b"", b"same" * 40}
+    for records, size in ((1000, 100_000), (20, 100_000), (1000, 3000), (0, 10)):
+        found = warc._sample(pages.repartition(4), records, size)
+        assert len(found) <= records and sum(map(len, found)) <= size and set(found) <= whole | {b"q" * 9000}
+        assert found == warc._sample(pages, records, size)
+    assert len(warc._sample(pages, 1000, 100_000)) == 61 and len(warc._sample(pages, 20, 100_000)) > 8
+
+
 def test_warc_query(spark):
     assert check(spark, registry.op5_warc, registry.ORACLE_SQL["op5_warc"]) == 50
 
