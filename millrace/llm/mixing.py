@@ -109,7 +109,7 @@ def sampling_plan(sized: DataFrame, weights: tuple[int, ...], most: int, slice_r
     e = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.withColumns({"whole": F.floor(e), "part": e - F.floor(e)})
     slices = F.ceil(F.col("n") / slice_rows).cast("int")
-    shares = _shares(strata, plan).select(_stratum(F.col("source"), F.col("class")).alias("_stratum"), "source_size", "target", "whole", "draws", (F.col("draws") / F.col("n")).alias("_m"), (F.col("words") / F.col("n")).alias("_mean"), slices.alias("_slices"))
+    shares = _shares(strata, plan).select(_stratum(F.col("source"), F.col("class")).alias("_stratum"), "source_size", "target", "whole", "draws", (F.col("draws") / F.col("n")).alias("_m"), F.when(F.col("words") > 0, F.col("words") / F.col("n")).otherwise(1.0).alias("_mean"), slices.alias("_slices"))
     shares = materialize(shares, "shares")
 
     drawn = shares.where("_m > 0 and _m < 1").select("_stratum", "draws", "_m", "_mean", "_slices")

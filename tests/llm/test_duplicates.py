@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from millrace.llm import simhash as sh
@@ -37,10 +38,11 @@ def test_every_pair_within_the_radius_meets():
             assert any(not m & gone for m in masks)
 
 
-def test_documents_against_all_pairs(spark):
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_documents_against_all_pairs(spark, broadcast_rows):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
     prints = {r.doc_id: plain_fingerprint(r.text) for r in docs.collect()}
-    got = sh.near_duplicates(docs).collect()
+    got = sh.near_duplicates(docs, broadcast_rows=broadcast_rows).collect()
     assert {r.doc_id: r.fp % 2**64 for r in got} == prints
     assert {r.doc_id: r.component_id for r in got} == components(prints)
 
