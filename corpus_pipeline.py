@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import compression_classifier, decontaminate, mixing, sharding, simhash
-from millrace.llm.common import materialize, table
+from millrace.llm.common import broadcast_if_small, join_unique, materialize, table
 from millrace.llm.registry import held_out
 
 #: The stages score and match texts by compression and by hashes that DuckDB does not have.
@@ -41,12 +41,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one of least doc_id, null being the least, of equal rows any."""
+    """One document of each group stays: the one of least doc_id, null being the least, of equal rows any.
+
+    What goes is told by id and row hash: up to a checked size this is broadcast and no text is shuffled. Only rows that
+    stand there several times, equal in all columns, are shuffled to leave one."""
     keyed = _keyed(docs)
     found = simhash.near_duplicates(keyed.select("_id", "text", "_key"), "_id")
-    first = found.groupBy("root").agg(F.min(F.struct("_id", "_key")).alias("f")).select(F.col("f._id").alias("_i"), F.col("f._key").alias("_k"))
-    kept = keyed.join(first, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")), "left_semi")
-    return _unwrapped(kept.dropDuplicates(["_key", "_id"]), docs)
+    rows = materialize(found.groupBy("root", "_id", "_key").agg(F.count("*").alias("_n")), "rows")
+    first = materialize(rows.groupBy("root").agg(F.min(F.struct("_id", "_key")).alias("_first")), "first")
+    judged = materialize(join_unique(rows, first, "root").select("_id", "_key", "_n", (F.struct("_id", "_key") == F.col("_first")).alias("_stays")), "judged")
+    same = (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i"))
+    kept = keyed.join(_side(judged.where("not _stays")), same, "left_anti")
+    repeated = judged.where("_stays and _n > 1")
+    if not repeated.isEmpty():
+        repeated = _side(repeated)
+        kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["_key", "_id"]))
+    return _unwrapped(kept, docs)
+
+
+def _side(rows: DataFrame) -> DataFrame:
+    return broadcast_if_small(materialize(rows.select(F.col("_id").alias("_i"), F.col("_key").alias("_k")), "side"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
