@@ -1,9 +1,10 @@
 """Quality classifier by compression: two Zstandard dictionaries, one built from good and one from bad labelled texts.
 
 A text is cut into blocks, each compressed on its own with either dictionary. The difference of the two total sizes,
-normalised by the text's bytes and EVIDENCE more, is turned into the probability of a good text by a logistic curve
-fitted to other labelled texts. The curve also weighs how much of that sum the text's own bytes are, so that a text of
-a few words, whose difference says little, gets about the odds of short texts.
+normalised by the text's bytes and some more (`evidence`), is turned into the probability of a good text by a logistic
+curve fitted to other labelled texts. The curve also weighs how much of that sum the text's own bytes are, so that a
+text of a few words, whose difference says little, gets about the odds of short texts. Of EVIDENCE, the bytes with the
+least logarithmic loss by cross-validation over the texts that the curve is fitted to are taken; no other text is asked.
 
 Training is on a bounded sample (`Sample`): what reaches the driver does not grow with the corpus. Scoring is one pass
 over the documents in their own partitions, without a shuffle.
@@ -29,8 +30,8 @@ LEVEL = 3
 BLOCK = 512
 DICTIONARY_BYTES = 112_640
 THRESHOLD = 0.7
-#: Bytes of text at which a difference counts half.
-EVIDENCE = 64
+#: Bytes of text at which a difference counts half: what is tried, and what holds for fewer than FEW texts of a class.
+EVIDENCE, DEFAULT_EVIDENCE, FEW, FOLDS = (16, 32, 64, 128, 256, 512), 64, 20, 5
 
 
 @dataclass(frozen=True)
@@ -51,6 +52,7 @@ class Model:
     intercept: float
     slope: float
     length: float = 0.0
+    evidence: int = DEFAULT_EVIDENCE
 
 
 def _dictionary(texts: list[bytes], size: int) -> bytes:
@@ -73,9 +75,36 @@ class _Compressor:
 
 
 def _differences(texts: Iterator[bytes], good: _Compressor, bad: _Compressor) -> np.ndarray:
-    """Of each text, compressed size with the bad dictionary less that with the good one, and its bytes; both over its
-    bytes and EVIDENCE. 0 and 0 for an empty text."""
-    return np.array([((bad.size(t) - good.size(t)) / (len(t) + EVIDENCE), len(t) / (len(t) + EVIDENCE)) for t in texts], float).reshape(-1, 2)
+    """Of each text, compressed size with the bad dictionary less that with the good one, and its bytes."""
+    return np.array([(bad.size(t) - good.size(t), len(t)) for t in texts], np.int64).reshape(-1, 2)
+
+
+def _normalised(measured: np.ndarray, evidence: int) -> np.ndarray:
+    """Difference and bytes, each over the bytes and `evidence` more."""
+    return measured / (measured[:, 1:] + evidence)
+
+
+def _probability(x: np.ndarray, curve: tuple[float, float, float]) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(curve[0] + x @ np.array(curve[1:]), -30, 30)))
+
+
+def _choose_evidence(measured: np.ndarray, y: np.ndarray) -> int:
+    """Of EVIDENCE, the one with the least loss over FOLDS parts, each judged by a curve of the others."""
+    if min((y == 0).sum(), (y == 1).sum()) < FEW:
+        return DEFAULT_EVIDENCE
+    # Parts hold as much of each class as any other.
+    part = np.empty(len(y), int)
+    for c in (0, 1):
+        part[y == c] = np.arange((y == c).sum()) % FOLDS
+
+    def loss(evidence: int) -> float:
+        x, total = _normalised(measured, evidence), 0.0
+        for k in range(FOLDS):
+            p = _probability(x[part == k], _fit_curve(x[part != k], y[part != k]))
+            total -= np.log(np.where(y[part == k] == 1, p, 1 - p)).sum()
+        return total
+
+    return min(EVIDENCE, key=loss)
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -128,24 +157,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     whole_texts = sized.where(fits).orderBy("_order", "_text").limit(2 * sample.dictionary_texts).select("_y", "_text").collect()
     texts = [[r["_text"].encode() for r in whole_texts if r["_y"] == y] for y in (0, 1)]
     bad, good = (_dictionary(x, DICTIONARY_BYTES) for x in texts)
-    measured = _with_difference(chosen.where("_half = 1").select("_y", "_order", "_text"), "_text", good, bad).select("_y", "_order", "_d", "_l").orderBy("_order", "_d", "_l").limit(2 * sample.curve_texts).collect()
-    intercept, slope, length = _fit_curve(np.array([(r["_d"], r["_l"]) for r in measured], float), np.array([r["_y"] for r in measured], float))
+    measured = _with_difference(chosen.where("_half = 1").select("_y", "_order", "_text"), "_text", good, bad).select("_y", "_order", "_d", "_n").orderBy("_order", "_d", "_n").limit(2 * sample.curve_texts).collect()
+    sizes, y = np.array([(r["_d"], r["_n"]) for r in measured], float).reshape(-1, 2), np.array([r["_y"] for r in measured], float)
+    evidence = _choose_evidence(sizes, y)
+    intercept, slope, length = _fit_curve(_normalised(sizes, evidence), y)
     # The sample has as many of either class as there are, up to its bound; the labels' own odds take its place.
     whole, part = ({y: 1 + n for y, n in x} for x in (clean.groupBy("_y").count().collect(), Counter(r["_y"] for r in measured).items()))
     if slope and len(whole) == 2:
         intercept += float(np.log(whole[1] / whole[0] * part[0] / part[1]))
-    return Model(good, bad, intercept, slope, length)
+    return Model(good, bad, intercept, slope, length, evidence)
 
 
 def _with_difference(docs: DataFrame, text_col: str, good: bytes, bad: bytes) -> DataFrame:
     at = docs.columns.index(text_col)
-    out = T.StructType([*docs.schema.fields, T.StructField("_d", T.DoubleType()), T.StructField("_l", T.DoubleType())])
+    out = T.StructType([*docs.schema.fields, T.StructField("_d", T.LongType()), T.StructField("_n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_good, by_bad = _Compressor(good), _Compressor(bad)
         for b in batches:
             d = _differences((x.as_py() or b"" for x in b.column(at).cast(pa.binary())), by_good, by_bad)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d[:, 0], pa.float64()), pa.array(d[:, 1], pa.float64())], names=[*b.schema.names, "_d", "_l"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d[:, 0]), pa.array(d[:, 1])], names=[*b.schema.names, "_d", "_n"])
 
     return docs.mapInArrow(run, out)
 
@@ -158,6 +189,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
     Rows keep their order and number; other columns pass through, and ones named score or predicted give way.
     """
     rest = docs.drop("score", "predicted")
-    line = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(model.intercept) + F.lit(model.slope) * F.col("_d") + F.lit(model.length) * F.col("_l")))
+    whole = F.col("_n") + model.evidence
+    line = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(model.intercept) + F.lit(model.slope) * F.col("_d") / whole + F.lit(model.length) * F.col("_n") / whole))
     scored = _with_difference(rest, text_col, model.good, model.bad).withColumn("score", 1 / (1 + F.exp(-line)))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)).select(*rest.columns, "score", "predicted")

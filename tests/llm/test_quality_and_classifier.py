@@ -1,9 +1,12 @@
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
+import zstandard
 
 from millrace.llm import compression_classifier as cc
 from millrace.llm import quality_rules as qr
@@ -63,6 +66,45 @@ def test_classifier_on_held_out_labels(spark):
     assert sum(a == b for a, b in held) >= 0.9 * len(held)
 
 
+def test_scores_against_plain_compression(spark):
+    """Dictionaries of the model, everything else written anew: blocks of 512 bytes, the sizes' difference, the curve."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    odd = [(-1, None), (-2, ""), (-3, "é" * 700), (-4, "x" * 100_000)]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema))
+    model = cc.train(docs, spark.read.parquet(f"{SF_DIR}/labels.parquet").where(~registry.held_out()))
+
+    def size(data, dictionary):
+        zstd = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_dict_id=False)
+        return sum(len(zstd.compress(data[k : k + 512])) for k in range(0, len(data), 512))
+
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in cc.score(docs, model).collect():
+        data = texts[r.doc_id]
+        at = model.intercept + (model.slope * (size(data, model.bad) - size(data, model.good)) + model.length * len(data)) / (len(data) + model.evidence)
+        assert abs(r.score - 1 / (1 + math.exp(-max(-30, min(30, at))))) < 1e-9 and r.predicted == (r.score >= 0.7), r.doc_id
+
+
+def test_evidence_is_chosen_by_the_curves_texts_alone():
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 2, 400)
+    n = rng.integers(10, 3000, 400)
+    measured = np.c_[rng.normal((2 * y - 1) * n * 0.05, 20), n].astype(float)
+    chosen = cc._choose_evidence(measured, y.astype(float))
+    losses = {}
+    for e in cc.EVIDENCE:
+        total, part = 0.0, np.empty(400, int)
+        for c in (0, 1):
+            part[y == c] = np.arange((y == c).sum()) % 5
+        for k in range(5):
+            a, b, c = cc._fit_curve(cc._normalised(measured[part != k], e), y[part != k].astype(float))
+            for (d, m), t in zip(measured[part == k], y[part == k], strict=True):
+                p = 1 / (1 + math.exp(-max(-30, min(30, a + b * d / (m + e) + c * m / (m + e)))))
+                total -= math.log(p if t else 1 - p)
+        losses[e] = total
+    assert chosen == min(losses, key=losses.get)
+    assert cc._choose_evidence(measured[:30], np.r_[np.ones(25), np.zeros(5)]) == cc.DEFAULT_EVIDENCE
+
+
 @pytest.mark.parametrize("labelled", [[], [(1, 1)], [(1, 1), (2, 0), (2, 1), (None, 1), (3, None)]])
 def test_classifier_with_hardly_any_labels(spark, labelled):
     docs = spark.createDataFrame([(1, "a b", 5), (2, None, 5), (2, None, 5), (None, "", 5)], "doc_id long, text string, score int")
