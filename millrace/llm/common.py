@@ -20,11 +20,22 @@ HOT_ROWS, HOT_SHARE = 50_000, 10_000
 #: So many rows of a narrow table may be put in order in one task.
 ONE_TASK_ROWS = 100_000
 
+#: A table of few files is dealt to more tasks if it has so many bytes, and not more than so many.
+TASK_BYTES, MOVED_BYTES = 4 << 20, 1 << 30
+
 _own_dirs: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A Parquet table by name. One of fewer files than there are cores, too large for one task and small enough to be
+    moved, is dealt to all of them: a file of one row group is one task otherwise."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    files, cores = df.inputFiles(), spark.sparkContext.defaultParallelism
+    if len(files) >= cores:
+        return df
+    path = lambda f: spark._jvm.org.apache.hadoop.fs.Path(f)
+    size = sum(path(f).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path(f)).getLen() for f in files)
+    return df.repartition(min(cores, 1 + 4 * size // TASK_BYTES)) if TASK_BYTES < size <= MOVED_BYTES else df
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,9 +1,11 @@
 """Every operator and stage on odd rows: nulls, empty and very long texts, repeats, clashing extra columns, no rows."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import compression_classifier, decontaminate, mixing, pii, quality_rules, sharding, simhash, url_filter
+from millrace.llm import chat, common, compression_classifier, decontaminate, mixing, pii, quality_rules, sharding, simhash, url_filter, warc
 from millrace.llm.common import table
 from tests.oracle import SF_DIR
 
@@ -62,6 +64,45 @@ def test_operators_keep_rows_and_extra_columns(spark, docs, name):
     assert none.columns == out.columns and none.count() == 0
 
 
+def test_conversations_and_archives_of_odd_rows(spark, docs, tmp_path):
+    clashing = [c for c in docs.columns if c in CLASHING]
+    extra = [F.lit("x").alias(c) for c in ("window", "_chunk", "_known", "_number", "_long", "sha1", "refers_to", "_large")]
+    turns = docs.select(F.col("doc_id").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.col("source").alias("role"), "text", *[f"`{c}`" for c in clashing], *extra)
+    ids = Counter(r[0] for r in ROWS)
+    for chars in (chat.CHUNK_CHARS, 10):
+        got = {r.conv_id: r for r in chat.read_back(chat.format_windows(turns, chunk_chars=chars)).collect()}
+        assert {i: r.n_turns for i, r in got.items()} == ids and got[5].formatted_chars > len(LONG)
+    assert chat.format_windows(turns.limit(0)).count() == 0
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"), *[f"`{c}`" for c in clashing], *extra)
+    path = f"file://{tmp_path}/w"
+    rows = warc.read_archives(warc.write_archives(pages, path), path).collect()
+    assert Counter((r.page_id, r.payload_bytes) for r in rows) == Counter((r[0], len((r[1] or "").encode())) for r in ROWS)
+    # Of the empty payloads, that of the largest id is the response; equal rows of that id are, each.
+    assert {(r.page_id, r.record_type, r.refers_to) for r in rows if not r.payload_bytes} == {(4, "response", None), (2, "revisit", 4), (None, "revisit", 4)}
+    assert [r.record_type for r in rows if r.page_id == 1] == ["response"] * 3
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:  # noqa: N801
+            master, applicationId = "yarn", "x"
+
+            @staticmethod
+            def getConf():  # noqa: N802
+                return {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
+def test_small_is_a_matter_of_rows_and_bytes(spark):
+    wide = spark.createDataFrame([("x" * 1000, [1, None])] * 10, "a string, b array<int>")
+    assert common.is_small(wide) and common.is_small(wide.limit(0)) and not common.is_small(wide, rows=9) and not common.is_small(wide, size=10_000)
+
+
 def test_found_in_odd_rows(spark, docs):
     found = {r.doc_id: [s.kind for s in r.found if s.kind != "id"] for r in pii.personal_data(docs).collect() if r.doc_id is None and r.found or r.doc_id == 5}
     assert found[None] == ["card"] and found[5].count("email") == 8_000

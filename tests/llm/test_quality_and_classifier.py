@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 import zstandard
 
 from millrace.llm import compression_classifier as cc
@@ -50,6 +51,37 @@ def test_ratios_do_not_depend_on_the_way_of_joining(spark):
     assert set(qr.ngram_log_ratios(docs, trusted.limit(0), buckets=16)) == {0.0}
 
 
+def test_verdicts_against_brute_force(spark):
+    """Counts, ratios, scores and verdicts of all documents, from the definitions."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    labels = {}
+    for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").collect():
+        labels.setdefault(r.doc_id, set()).add(r.quality)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def buckets(text):
+        h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in WORD.findall(text or "")]
+        pack = lambda x: x.to_bytes(8, "little", signed=True)
+        first = [xxhash.xxh64_intdigest(pack(a), 42) for a in h]
+        pairs = [signed(xxhash.xxh64_intdigest(pack(b), a)) for a, b in zip(first, h[1:], strict=False)]
+        # The last word is paired with the end of the text, of which there is nothing to hash.
+        return [x % qr.BUCKETS for x in [*h, *pairs, *(signed(x) for x in first[-1:])]]
+
+    grams = {i: buckets(t) for i, t in docs.items()}
+    raw, target = Counter(), Counter()
+    for i, g in grams.items():
+        raw.update(g)
+        target.update(g if labels.get(i) == {1} else ())
+    n_raw, n_target, added = sum(raw.values()), sum(target.values()), 16 * qr.BUCKETS
+    ratio = {b: round(math.log((target[b] / (raw[b] / n_raw) + added) / (n_target + added)), 5) for b in raw}
+    for r in registry.op1_quality_rules(spark, SF_DIR).collect():
+        g = grams[r.doc_id]
+        llr = sum(ratio[b] for b in g) / len(g) if g else 0.0
+        assert abs(r.llr - llr) < 1e-5, r.doc_id
+        assert r.base_failed == base(docs[r.doc_id])[-1]
+        assert abs(llr - qr.THRESHOLD) < 1e-4 or r.kept == (not r.base_failed and llr >= qr.THRESHOLD)
+
+
 def test_good_documents_are_kept(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").collect()}
     got = registry.op1_quality_rules(spark, SF_DIR).collect()
