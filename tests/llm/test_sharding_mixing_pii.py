@@ -249,6 +249,17 @@ def test_keys_are_found_in_contexts_of_keys_only(spark):
     assert all(got[k] == ["id"] for k in [*range(9), 30, 31]) and got[20] == got[21] == []
 
 
+def test_words_that_mostly_stand_alone_make_no_pattern(spark):
+    """Seeds behind an article, which is everywhere, and behind a phrase of their own."""
+    rng = np.random.default_rng(5)
+    filler = lambda: " ".join("the " + "".join(rng.choice(list("abcdefgh"), 6)) for _ in range(30))
+    docs = [(k, f"{filler()} the u{k}@mail.example.com {filler()} reach us under +1 (212) 555-{1000 + k} {filler()}") for k in range(40)]
+    docs += [(100, f"{filler()} the 2362971821055609 {filler()}"), (101, f"{filler()} reach us under 0049-555-1234 {filler()}")]
+    for broadcast_rows in (0, 1000):
+        got = {r.doc_id: [s.kind for s in r.found] for r in pii.personal_data(spark.createDataFrame(docs, "doc_id long, text string"), broadcast_rows=broadcast_rows).collect()}
+        assert got[100] == [] and got[101] == ["id"] and got[0] == ["email", "phone"]
+
+
 def test_secrets_of_the_documents(spark):
     sf = "/root/testdata/sf0.01"
     for r in spark.read.parquet(f"{sf}/documents.parquet").join(registry.op9_personal_data(spark, sf), "doc_id").where("text like '%token = %'").collect():
