@@ -156,7 +156,7 @@ from {orders} window w as (partition by o_custkey order by o_orderpriority), v a
     "customers_or_suppliers": "select c_nationkey as k from {customer} intersect select s_nationkey from {supplier}",
     "nations_without_rich_suppliers": "select n_nationkey as k from {nation} except select s_nationkey from {supplier} where s_acctbal > 5000",
     "all_nations": "select c_nationkey as k, 'c' as of from {customer} union select s_nationkey, 's' from {supplier}",
-    "more_customers_than_orders": "select c_nationkey as k from {customer} except all select cast(o_orderkey % 25 as int) from {orders} where o_orderkey < 700",
+    "more_customers_than_orders": "select c_nationkey as k from {customer} except all select cast(o_orderkey % 25 as int) from {orders} where o_orderkey < 50",
     "nations_in_both": "select c_nationkey as k from {customer} intersect all select s_nationkey from {supplier}",
     "recursive_chain": """with recursive chain(k, depth) as (select cast(n_nationkey as bigint), 0 from {nation} union all select 3 * k + 1, depth + 1 from chain where 3 * k + 1 < 2000)
 select depth, count(*) as n, sum(p_retailprice) as price from chain join {part} on p_partkey = k group by depth""",
