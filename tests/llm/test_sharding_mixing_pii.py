@@ -232,11 +232,10 @@ def planted_identifiers(rng):
 def test_recall_of_identifiers_in_contexts_of_seeds_and_of_identifiers(spark):
     docs, first, second, decoys = planted_identifiers(np.random.default_rng(3))
     text = dict(docs)
-    for broadcast_rows in (0, 1000):
-        got = {r.doc_id: [text[r.doc_id][s.start : s.end] for s in r.found if s.kind == "id"] for r in pii.personal_data(spark.createDataFrame(docs, "doc_id long, text string"), broadcast_rows=broadcast_rows).collect()}
-        for expected in (first, second):
-            assert sum(v in got[i] for i, v in expected.items()) >= 0.9 * len(expected)
-        assert not any(v in got[i] for i, v in decoys.items())
+    got = {r.doc_id: [text[r.doc_id][s.start : s.end] for s in r.found if s.kind == "id"] for r in pii.personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for expected in (first, second):
+        assert sum(v in got[i] for i, v in expected.items()) >= 0.9 * len(expected)
+    assert not any(v in got[i] for i, v in decoys.items())
     # One round finds the first only.
     once = {r.doc_id: len(r.found) for r in pii.personal_data(spark.createDataFrame(docs, "doc_id long, text string"), rounds=1).collect()}
     assert all(once[i] for i in first) and not any(once[i] for i in second)
