@@ -171,9 +171,9 @@ class Index:
             starts = np.arange(0, max(1, len(found) - 2 * c.length), step)
             ends = np.minimum(starts + 2 * c.length + step, len(found))
             # Sums over each step, and of the steps of each passage.
-            sums = np.zeros((len(starts) + 2 * STEPS, RANGES))
+            sums = np.zeros((len(starts) + 2 * STEPS, RANGES), np.float32)
             if len(found):
-                parts = np.add.reduceat(bounds, np.arange(0, len(found), step), axis=0, dtype=np.float64)
+                parts = np.add.reduceat(bounds, np.arange(0, len(found), step), axis=0)
                 sums[: len(parts)] = parts
             near = sum(sums[k : k + len(starts)] for k in range(2 * STEPS + 1)).max(axis=1)
             for at in np.flatnonzero(near >= threshold - 1e-4):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import BROADCAST_ROWS, extras_apart, join_unique, materialize
+from millrace.llm.common import extras_apart, join_unique, materialize
 from millrace.llm.graph import connected_components
 
 RADIUS = 3
@@ -30,6 +30,8 @@ SEED = 42
 SHINGLE = 3
 #: Distinct fingerprints in a bucket before it is split again.
 CAP = 256
+#: Joins by fingerprint broadcast so many rows at most: both sides grow alike, and are narrow.
+NARROW_ROWS = 100_000
 _CHUNK = 1 << 16
 
 
@@ -114,7 +116,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, cap: int = CAP) -> Dat
 
 
 @extras_apart("id_col", "text_col")
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, cap: int = CAP, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, cap: int = CAP, broadcast_rows: int = NARROW_ROWS) -> DataFrame:
     """Each row of docs without its text, with `fp`, `root` (the component's smallest fingerprint) and `component_id`.
 
     Documents whose fingerprints differ in at most `radius` bits are linked; component_id is the smallest id reachable
