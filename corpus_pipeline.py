@@ -49,7 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = simhash.near_duplicates(keyed.select("_id", "text", "_key"), "_id")
     rows = materialize(found.groupBy("root", "_id", "_key").agg(F.count("*").alias("_n")), "rows")
     first = materialize(rows.groupBy("root").agg(F.min(F.struct("_id", "_key")).alias("_first")), "first")
-    judged = materialize(join_unique(rows, first, "root").select("_id", "_key", "_n", (F.struct("_id", "_key") == F.col("_first")).alias("_stays")), "judged")
+    judged = materialize(join_unique(rows, first, "root", simhash.NARROW_ROWS).select("_id", "_key", "_n", (F.struct("_id", "_key") == F.col("_first")).alias("_stays")), "judged")
     same = (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i"))
     kept = keyed.join(_side(judged.where("not _stays")), same, "left_anti")
     repeated = judged.where("_stays and _n > 1")
