@@ -1,7 +1,8 @@
 """A corpus pipeline: quality classifier, near-duplicates, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. Stages but the last return the
-columns of documents; a row that mixing repeats stands there as often as it is taken.
+columns of documents; a row that mixing repeats stands there as often as it is taken. Further columns pass through
+under any name; one of a type that Spark cannot hash, a map, raises in the near-duplicate stage.
 """
 
 from __future__ import annotations
