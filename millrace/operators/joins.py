@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.storage import BROADCAST_BYTES, is_small
+
 #: Levels of cells in a range join; an interval too wide for the last, or without an end, is in one cell of its own level.
 LEVELS = 40
 
@@ -45,13 +47,13 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values:
     )
 
 
-def range_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
+def range_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, width: float, by: tuple[str, str] | None = None) -> DataFrame:
     """points joined to the intervals [low, high) that hold their `at`: an equi-join on cells, then a filter.
 
     Cells double in width from level to level, beginning with `width`, and an interval is in the level at which it
     touches at most two; a point is in one cell of each level that some interval has, LEVELS at most. So neither wide
     intervals nor ones without an end are repeated. Rows with a null bound or point join nothing; empty and reversed
-    intervals hold no point. The sides must have no column in common.
+    intervals hold no point. by: a column of each side which must be equal too. The sides must have no column in common.
     """
     spread = intervals.where(F.col(low) < F.col(high)).withColumn("_level", F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.coalesce(F.ceil(F.log2((F.col(high) - F.col(low)) / width)), F.lit(LEVELS)))).cast("int"))
     # At the last level all is one cell.
@@ -60,12 +62,15 @@ def range_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high:
     levels = [r[0] for r in spread.select("_level").distinct().collect()]
     placed = points.where(F.col(at).isNotNull()).withColumn("_level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>"))).withColumn("_cell", cell(F.col(at)))
     held: Column = (F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))
+    if by:
+        held = held & (F.col(by[0]) == F.col(by[1]))
     return placed.join(spread, ["_level", "_cell"]).where(held).drop("_level", "_cell")
 
 
-def theta_join(left: DataFrame, right: DataFrame, on: Column, how: str = "inner", rows: int = 10_000) -> DataFrame:
-    """left joined to right by any condition. A right side of at most so many rows goes to all executors, so that left is
-    read once where it is; a larger one needs an equality or a range, and is refused rather than paired with all rows."""
-    if len(right.limit(rows + 1).take(rows + 1)) > rows:
-        raise ValueError(f"the right side has more than {rows} rows; use an equality or range_join")
+def theta_join(left: DataFrame, right: DataFrame, on: Column, how: str = "inner", rows: int = 10_000, size: int = BROADCAST_BYTES) -> DataFrame:
+    """left joined to right by any condition. A right side of at most so many rows and bytes goes to all executors, so that
+    left is read once where it is. A larger one is refused rather than paired with all rows: for one or two inequalities
+    there is inequality_join, for intervals range_join and overlapping, all of which take sides of any size."""
+    if not is_small(right, rows, size):
+        raise ValueError(f"the right side has more than {rows} rows or {size} bytes; use inequality_join, range_join or an equality")
     return left.join(F.broadcast(right), on, how)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import relational
+from millrace.plans import analytics, relational
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (relational,):
+for _module in (relational, analytics):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

@@ -72,7 +72,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similarity_to_vector_0(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dot product of every vector with the one of id 0; no rows without it."""
     v = table(spark, sf_dir, "embeddings")
-    query = v.where("vec_id = 0").select(F.col("embedding").cast("array<double>").alias("query"))
+    query = v.where("vec_id = 0").agg(F.min(F.col("embedding").cast("array<double>")).alias("query")).where("query is not null")
     return v.crossJoin(F.broadcast(query)).select("vec_id", F.round(dot(F.col("embedding"), F.col("query")), 6).alias("similarity"))
 
 
