@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from millrace.operators import inequality, intervals, neighbors
 from millrace.sources.tables import table
+from millrace.storage import scratch_path
+from millrace.streaming import timers
+from millrace.streaming.joins import join_within
+from millrace.streaming.upserts import UpsertTable
 
 
 def vector_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +64,34 @@ def overlapping_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.overlapping(clicks, purchases, "low", "high", "from", "to", 3600.0, ("user_id", "buyer_id")).select("event_id", "purchase_id")
 
 
-QUERIES = {f.__name__: f for f in (vector_neighbors, vector_neighbors_indexed, later_cheaper_orders, cheaper_orders_of_customer, most_open_spans, merged_spans, overlapping_spans)}
+def purchases_after_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each click with the user's purchases within an hour of it, or with none: the batch form of a join of two streams."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    clicks = events.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    purchases = events.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), F.col("user_id").alias("buyer_id"), F.col("ts").alias("bought"))
+    return join_within(clicks, purchases, ("user_id", "buyer_id"), ("ts", "bought"), 3600).select("event_id", "purchase_id")
+
+
+def silent_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of a user's events that twelve hours of silence end: the batch form of alerts by timers."""
+    found = timers.silence_alerts(table(spark, sf_dir, "events"), 12 * 3600)
+    return found.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_ts", "last_ts")], "n_events", "n_types")
+
+
+def upserted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user and type that is no deletion, as a table holds it to which events were applied in three
+    batches, newer before older ones, one of them twice."""
+    changes = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.round("value", 2).alias("value"), (F.col("event_id") % 7 == 0).alias("deleted"))
+    kept = UpsertTable(spark, scratch_path(spark, "upserts"), ["user_id", "event_type"], "event_id", "deleted")
+    for batch_id, part in enumerate((2, 0, 1)):
+        kept.write(changes.where(F.col("event_id") % 3 == part), batch_id)
+        if batch_id == 1:
+            kept.compact()
+    kept.write(changes.where("event_id % 3 = 0"), 1)
+    return kept.read().drop("deleted")
+
+
+QUERIES = {f.__name__: f for f in (vector_neighbors, vector_neighbors_indexed, later_cheaper_orders, cheaper_orders_of_customer, most_open_spans, merged_spans, overlapping_spans, purchases_after_clicks, silent_users, upserted_events)}
 _SPANS = "s as (select event_id, user_id, event_type, ts as low, ts + to_minutes(floor(value)::int) as high from events)"
 _SOUND = "c as (select * from s where low < high)"
 ORACLE_SQL = {
@@ -77,4 +108,9 @@ b as (select *, case when low > max(high) over (partition by user_id order by lo
 g as (select *, sum(new) over (partition by user_id order by low, high rows unbounded preceding) as no from b)
 select user_id, min(low) as low, max(high) as high from g group by user_id, no""",
     "overlapping_spans": f"with {_SPANS}, {_SOUND} select a.event_id, b.event_id as purchase_id from c a join c b on a.user_id = b.user_id and a.event_type = 'click' and b.event_type = 'purchase' and a.low < b.high and b.low < a.high",
+    "purchases_after_clicks": """select c.event_id, p.event_id as purchase_id from (select * from events where event_type = 'click') c left join (select * from events where event_type = 'purchase') p
+  on c.user_id = p.user_id and p.ts between c.ts and c.ts + interval 1 hour""",
+    "silent_users": """select user_id, min(ts) as first_ts, max(ts) as last_ts, count(*) as n_events, count(distinct event_type) as n_types from (select *, sum(new) over (partition by user_id order by ts) as no from (
+  select *, case when ts <= lag(ts) over (partition by user_id order by ts) + interval 12 hours then 0 else 1 end as new from events) x) y group by user_id, no""",
+    "upserted_events": """select user_id, event_type, event_id, round(value, 2) as value from (select *, row_number() over (partition by user_id, event_type order by event_id desc) as k from events) x where k = 1 and event_id % 7 <> 0""",
 }

@@ -13,11 +13,6 @@ from millrace.plans import analytics
 from tests import oracle
 
 
-@pytest.mark.parametrize("name", sorted(analytics.ORACLE_SQL))
-def test_query_against_sql(spark, name):
-    assert oracle.check(spark, analytics.QUERIES[name], analytics.ORACLE_SQL[name]) > 0
-
-
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
