@@ -38,33 +38,41 @@ END, START = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b" ")
 #: Counts up to it are discounted, as by Katz.
 MAX_DISCOUNTED = 5
 #: Tokens of a block; bytes of text of a part, of which there are MIN_PARTS at least.
-BLOCK, PART_BYTES, MIN_PARTS = 1 << 21, 24 << 20, 8
+BLOCK, PART_BYTES, MIN_PARTS = 3 << 19, 10 << 20, 8
+#: Documents of a block.
+BLOCK_DOCS = 1 << 16
+#: Places of a part that are scored at once; sums by row that a task holds.
+SEGMENT, HELD_SUMS = 1 << 17, 1 << 18
 #: Bytes of a text that are split at once.
 PIECE = 1 << 20
 #: One in so many documents tells which words are frequent: those with over a quarter of a part's share of tokens.
 SAMPLE, HOT_PARTS = 32, 4
-_ROWS = 100_000
+_ROWS = 20_000
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Shuffle files go with the job that made them, not with the driver's next collection of garbage.
-_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Shuffle files go with the job that made them, not with the driver's next collection of garbage; texts come in few
+#: at a time, next to the block that is gathered of them.
+_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
-    """materialize, without leaving its shuffles on disk."""
-    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(_TIDY, None)
-    conf.set(_TIDY, "true")
+    """materialize, with little in memory and no shuffles left on disk."""
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k, None) for k in _CONF}
     try:
+        for k, v in _CONF.items():
+            conf.set(k, v)
         return materialize(df, name)
     finally:
-        conf.unset(_TIDY) if before is None else conf.set(_TIDY, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
-def _pieces(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, A to Z lower-cased, a piece at a time."""
+def _pieces(text: bytes, size: int = PIECE) -> Iterator[list[bytes]]:
+    """The words of a text, A to Z lower-cased, a piece of about so many bytes at a time."""
     at = 0
     while at < len(text):
-        gap = _SPACE.search(text, at + PIECE) if at + PIECE < len(text) else None
+        gap = _SPACE.search(text, at + size) if at + size < len(text) else None
         to = gap.start() if gap else len(text)
         yield text[at:to].lower().split()
         at = to
@@ -118,11 +126,16 @@ class _Blocks:
         self.tokens += len(word)
 
     def rows(self) -> pa.RecordBatch:
-        word, history, row = (np.concatenate(x) for x in (self.word, self.history, self.row))
+        (word, history, row), docs = (np.concatenate(x) for x in (self.word, self.history, self.row)), self.docs
+        self.clear()
         base = int(row[0]) >> 1
         part = _part(word, history, self.hot, self.parts)
         order = np.lexsort((history, word, part))
-        word, history, row, part = word[order], history[order], row[order], part[order]
+        word = word[order]
+        history = history[order]
+        row = row[order]
+        part = part[order]
+        del order
         firsts = _starts(part)
         out: list[list] = [[] for _ in range(7)]
         held = base % self.parts
@@ -136,8 +149,8 @@ class _Blocks:
             learned = np.add.reduceat(r & 1, gram) if len(gram) else np.empty(0, np.int64)
             arrays = (w[gram], h[gram], seen.astype(np.uint32), learned.astype(np.uint32), ((r >> 1) - base).astype(np.uint32))
             packed = [_pack(x) for x in arrays]
-            docs = self.docs if p == held else []
-            for column, x in zip(out, (p, base, packed, *[[d[k] for d in docs] for k in range(4)]), strict=True):
+            own = docs if p == held else []
+            for column, x in zip(out, (p, base, packed, *[[d[k] for d in own] for k in range(4)]), strict=True):
                 column.append(x)
         kinds = (pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(self.kind), pa.list_(pa.bool_()), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=self.names)
@@ -164,9 +177,8 @@ def _blocks(docs: DataFrame, parts: int, hot: np.ndarray, block: int) -> DataFra
                         before, n = token[-1:], n + len(token)
                     if words is None:
                         held.docs.append((row, b.column(0)[k].as_py(), learn, n))
-                    if held.tokens >= block:
+                    if held.tokens >= block or len(held.docs) >= BLOCK_DOCS:
                         yield held.rows()
-                        held.clear()
                 row += 1
         if held is not None and held.tokens:
             yield held.rows()
@@ -195,13 +207,20 @@ def _gathered(blocks: DataFrame, hot: np.ndarray, most: int) -> DataFrame:
             for k, (x, kind) in enumerate(zip(arrays, kinds, strict=True)):
                 data = _unpack(x.as_py(), kind)
                 every[k].append(data.astype(np.int64) + base if k == 4 else data)
-        word, history, seen, learned, rows = (np.concatenate(x) for x in every)
+        # One at a time, so that little stands in memory twice.
+        word, history, seen, learned, rows = (np.concatenate(every.pop(0)) for _ in kinds)
         order = np.lexsort((history, word))
+        word = word[order]
+        history = history[order]
+        learned = learned[order].astype(np.int64)
         # Places move with their bigram.
-        begins = np.cumsum(seen, dtype=np.int64) - seen
+        begins = (np.cumsum(seen, dtype=np.int64) - seen)[order]
         size = seen[order].astype(np.int64)
-        moved = np.repeat(begins[order] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        rows, word, history, learned = rows[moved], word[order], history[order], learned[order].astype(np.int64)
+        moved = np.repeat(begins - (np.cumsum(size) - size), size)
+        del order, begins, seen
+        moved += np.arange(len(moved))
+        rows = rows[moved]
+        del moved
         gram = _starts(word, history) if len(word) else np.empty(0, np.int64)
         add = lambda x, at: np.add.reduceat(x, at) if len(at) else np.empty(0, np.int64)
         seen, learned, word, history = add(size, gram), add(learned, gram), word[gram], history[gram]
@@ -344,6 +363,33 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     return Model(stats, parts, backoffs)
 
 
+class _RowSums:
+    """Sums by row of what a task reads, merged now and then."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, rows: np.ndarray, times: np.ndarray, values: tuple[np.ndarray, ...]) -> None:
+        """rows: those of all bigrams, one after the other, so many times each; values: one for each bigram."""
+        own, index = np.unique(rows, return_inverse=True)
+        self.parts.append((own, *[np.bincount(index, np.repeat(x, times), len(own)) for x in values]))
+        self.size += len(own)
+
+    def merge(self) -> None:
+        rows = np.concatenate([p[0] for p in self.parts])
+        own, index = np.unique(rows, return_inverse=True)
+        self.parts = [(own, *[np.bincount(index, np.concatenate([p[k] for p in self.parts]), len(own)) for k in (1, 2, 3)])]
+        self.size = len(own)
+
+    def take(self) -> tuple[np.ndarray, ...]:
+        if not self.parts:
+            return (np.empty(0, np.int64),) * 4
+        self.merge()
+        (own, known, base, p), self.parts, self.size = self.parts[0], [], 0
+        return own, np.round(known).astype(np.int64), base, p
+
+
 def score(model: Model, broadcast_rows: int = 100_000) -> DataFrame:
     """A row for each document: id, learn, n_tokens (its end is one), n_known of them, base_score, the sum of
     log10((n + 1) / (tokens + words + 1)) over tokens by their counts n, and score, the model's log10 probability of the
@@ -362,31 +408,43 @@ def score(model: Model, broadcast_rows: int = 100_000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["row", "known", "base", "score", "history"]
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+        sums = _RowSums()
+
+        def told(found: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(found[0]), _ROWS):
+                part = [pa.array(x[i : i + _ROWS], t) for x, t in zip(found, kinds, strict=False)]
+                yield pa.RecordBatch.from_arrays([*part, pa.nulls(len(part[0]), pa.int64())], names=names)
+
         for b in batches:
             for k in range(b.num_rows):
                 words, grams, histories, learned, seen, rows = (_unpack(b.column(c)[k].as_py(), kind) for c, kind in enumerate(_ARRAYS))
-                n = learned.astype(np.int64)
-                counts = stats.word_counts(words, grams, n)
+                counts = stats.word_counts(words, grams, learned.astype(np.int64))
                 flagged = np.array([*(b.column(6)[k].as_py() or []), *hot_flags], np.int64).view(np.uint64)
                 ahead = np.where((words != END) & (counts > 0), np.log10(np.maximum(1, counts + np.isin(words, flagged))), 0.0)
                 by_word = (counts > 0, np.log10(counts + 1.0), np.log10(stats.unigram(counts)), ahead)
-                known, base, alone, ahead = (np.repeat(x, grams) for x in by_word)
-                opens = histories == START
-                p = np.where(n > 0, np.log10(np.maximum(stats.kept(n, stats.of_grams), 1e-300)) + opens * first[0], alone + opens * first[1]) - ahead
-                order = np.argsort(rows, kind="stable")
-                gram = np.repeat(np.arange(len(histories)), seen)[order]
-                at = _starts(rows[order]) if len(order) else np.empty(0, np.int64)
-                add = lambda x: np.add.reduceat(x, at) if len(at) else x
-                found = (rows[order][at], add(known[gram].astype(np.int64)), add(base[gram]), add(p[gram]))
-                for i in range(0, len(at), _ROWS):
-                    part = [x[i : i + _ROWS] for x in found]
-                    yield pa.RecordBatch.from_arrays([*[pa.array(x, t) for x, t in zip(part, kinds, strict=False)], pa.nulls(len(part[0]), pa.int64())], names=names)
-                # What these are backed off by is known by their history.
-                unseen = np.repeat((n == 0) & ~opens, seen)
-                row, history = rows[unseen], np.repeat(histories, seen)[unseen].view(np.int64)
-                for i in range(0, len(row), _ROWS):
-                    x = row[i : i + _ROWS]
-                    yield pa.RecordBatch.from_arrays([pa.array(x), *[pa.nulls(len(x), t) for t in kinds[1:4]], pa.array(history[i : i + _ROWS])], names=names)
+                word = np.repeat(np.arange(len(words), dtype=np.int32), grams)
+                ends = np.cumsum(seen, dtype=np.int64)
+                cuts = np.append(np.flatnonzero(np.diff(ends // SEGMENT)) + 1, len(seen)) if len(seen) else []
+                first_gram = 0
+                for last in cuts:
+                    at = slice(first_gram, int(last))
+                    row = rows[ends[at][0] - seen[at][0] : ends[at][-1]]
+                    known, base, alone, less = (x[word[at]] for x in by_word)
+                    n, opens, times = learned[at].astype(np.int64), histories[at] == START, seen[at]
+                    p = np.where(n > 0, np.log10(np.maximum(stats.kept(n, stats.of_grams), 1e-300)) + opens * first[0], alone + opens * first[1]) - less
+                    sums.add(row, times, (known, base, p))
+                    # What these are backed off by is known by their history.
+                    unseen = (n == 0) & ~opens
+                    back, history = row[np.repeat(unseen, times)], np.repeat(histories[at][unseen], times[unseen]).view(np.int64)
+                    for i in range(0, len(back), _ROWS):
+                        x = back[i : i + _ROWS]
+                        yield pa.RecordBatch.from_arrays([pa.array(x), *[pa.nulls(len(x), t) for t in kinds[1:4]], pa.array(history[i : i + _ROWS])], names=names)
+                    first_gram = int(last)
+                    if sums.size > HELD_SUMS:
+                        sums.merge()
+                        if sums.size > HELD_SUMS // 2:
+                            yield from told(sums.take())
+        yield from told(sums.take())
 
     arrays = ["words", "grams", "histories", "learned", "seen", "rows"]
     dealt = model.parts.select("part", *arrays).join(flags, "part", "left").select(*arrays, "undiscounted")

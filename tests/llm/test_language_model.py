@@ -81,7 +81,9 @@ def docs():
 @pytest.mark.parametrize("plan", [{}, {"block": 50, "part_bytes": 700}, {"block": 70, "part_bytes": 900, "hot": [language_model.END, 12345, *language_model._hashed([b"the", b"fixed"]).tolist()]}])
 def test_scores_against_plain_katz(spark, monkeypatch, docs, plan):
     if plan:
-        monkeypatch.setattr(language_model, "PIECE", 50)
+        # Taken from here by the tasks.
+        monkeypatch.setattr(language_model, "SEGMENT", 30)
+        monkeypatch.setattr(language_model, "HELD_SUMS", 20)
     katz = _Katz([t for _, t, learn in docs if learn])
     assert any(sum(n - katz.kept(n, katz.d2) for n in b.values()) < 1e-9 for b in katz.bi.values())
     df = spark.createDataFrame(docs, DOCS).withColumn("score", F.lit("extra"))
@@ -95,6 +97,13 @@ def test_scores_against_plain_katz(spark, monkeypatch, docs, plan):
         assert sum(katz.p(w, h) for w in {*katz.uni, "unknown"}) == pytest.approx(1, abs=1e-9), (h, b)
 
 
+def test_pieces_are_the_words_of_a_text():
+    text = (b"One two\x0bthree \xc3\x89t\xc3\xa9 " * 50 + b"x" * 1000 + b"\n\n tail").lower()
+    for size in (1, 7, 100, 10_000):
+        assert [w for words in language_model._pieces(text, size) for w in words] == text.split()
+    assert max(len(words) for words in language_model._pieces(text, 7)) <= 4
+
+
 def test_discounts():
     counts = [1000, 400, 240, 165, 125, 100]
     found = language_model.discounts(counts)

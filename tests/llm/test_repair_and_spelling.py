@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,18 +134,27 @@ def words():
     return out
 
 
-@pytest.mark.parametrize("collide", [False, True])
-def test_variants_against_brute_force(spark, monkeypatch, words, collide):
-    if collide:
-        words = Counter({w: n for w, n in words.items() if len(w) < 100})
-        # All hashes of a length are one, so that only the strings tell words apart.
-        monkeypatch.setattr(spelling, "_mixed", lambda h, size: size.astype(spelling.np.uint64))
+def test_variants_against_brute_force(spark, words):
     df = spark.createDataFrame(list(words.items()), "word string, n long").select("word", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
     df = df.drop("k").unionByName(spark.createDataFrame([(None,)] * 9, "word string"))
     got = {r[0]: tuple(r)[1:] for r in spelling.group_variants(df.withColumn("n", F.lit(3))).collect()}
     assert got == _variants(words)
 
 
+def test_words_whose_hashes_collide_are_told_apart():
+    count = {"abcd": 100, "abce": 5, "xbcd": 7, "abcde": 9, "zzzz": 50, "zzzzz": 6, "q": 5}
+    rows = sorted((len(w) - (at >= 0), at, w, n) for w, n in count.items() for at in range(-1, len(w)))
+    key, at, word, n = zip(*rows, strict=True)
+    near, forms = Counter(), {}
+    for w, k, form, form_n in zip(*spelling._told(np.array(key), np.array(at), list(word), np.array(n), 5), strict=True):
+        near[w] += k
+        if form is not None:
+            forms[w] = min(forms.get(w, (0, "")), (-form_n, form))
+    expected = _variants(count)
+    assert {w: near[w] for w in count} == {w: e[3] for w, e in expected.items()}
+    assert {w: f for w, (_, f) in forms.items()} == {w: e[0] for w, e in expected.items() if e[0] is not None}
+
+
 def test_variants_of_nothing(spark):
     assert spelling.group_variants(spark.createDataFrame([], "word string")).count() == 0
 
