@@ -47,13 +47,25 @@ STEPS = 2
 RANGES = 24
 #: Items and characters of one block of the benchmark, at most (one item can be larger).
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
-_WORD = re.compile(r"\w+")
+#: A text is gone through so many characters, and so many words, at a time.
+PIECE_CHARS, PIECE_WORDS = 1 << 20, 1 << 16
+_WORD, _SPACE = re.compile(r"\w+"), re.compile(r"\s")
 
 
 def tokens(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def token_pieces(text: str, size: int = PIECE_CHARS) -> Iterator[list[str]]:
+    """The tokens of a text, some at a time; cut where there is a space, so that no word nor its case changes."""
+    at = 0
+    while at < len(text):
+        space = _SPACE.search(text, at + size) if at + size < len(text) else None
+        to = space.start() if space else len(text)
+        yield tokens(text[at:to])
+        at = to
+
+
 def shingles(found: list[str]) -> set[tuple[str, ...]]:
     """Runs of five words; of a shorter text, the whole."""
     return {tuple(found[i : i + SHINGLE]) for i in range(max(1, len(found) - SHINGLE + 1))} if found else set()
@@ -159,21 +171,38 @@ class Index:
                 by_class[length][self.number[w]].append((k, x / own))
         self.classes = [_Class(n, p, len(self.number)) for n, p in sorted(by_class.items())]
 
-    def matches(self, text: str, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
-        """(item_id, score, question overlap, answer overlap) of the items found in the text, each at its best passage."""
-        found = tokens(text)
+    def matches(self, text: str, threshold: float, overlap: float, piece: int = PIECE_WORDS) -> list[tuple[int, float, float, float]]:
+        """(item_id, score, question overlap, answer overlap) of the items found in the text, each at its best passage.
+        The text is gone through in pieces of whole steps of every class, each with the words that its last passages reach."""
+        best: dict[int, tuple[float, float, float]] = {}
+        if not self.classes:
+            return []
+        longest = self.classes[-1].length
+        piece = -(-piece // (longest // STEPS)) * (longest // STEPS)
+        reach = 2 * longest + longest // STEPS
+        found: list[str] = []
+        for more in token_pieces(text):
+            found += more
+            while len(found) >= piece + reach:
+                self._look(found[: piece + reach], piece, threshold, overlap, best)
+                del found[:piece]
+        self._look(found, None, threshold, overlap, best)
+        return [(self.ids[k], *best[k]) for k in sorted(best)]
+
+    def _look(self, found: list[str], piece: int | None, threshold: float, overlap: float, best: dict[int, tuple[float, float, float]]) -> None:
+        """Adds to best what the passages hold that begin in the first `piece` words; None: in all that end a text."""
         get, none = self.number.get, len(self.number)
         ids = np.fromiter(map(get, found, repeat(none)), np.int64, len(found))
-        best: dict[int, tuple[float, float, float]] = {}
         for c in self.classes:
             bounds = c.range_bound[ids]
             step = c.length // STEPS
-            starts = np.arange(0, max(1, len(found) - 2 * c.length), step)
+            starts = np.arange(0, max(1, len(found) - 2 * c.length) if piece is None else piece, step)
             ends = np.minimum(starts + 2 * c.length + step, len(found))
             # Sums over each step, and of the steps of each passage.
             sums = np.zeros((len(starts) + 2 * STEPS, RANGES), np.float32)
             if len(found):
                 parts = np.add.reduceat(bounds, np.arange(0, len(found), step), axis=0)
+                parts = parts[: len(sums)]
                 sums[: len(parts)] = parts
             near = sum(sums[k : k + len(starts)] for k in range(2 * STEPS + 1)).max(axis=1)
             for at in np.flatnonzero(near >= threshold - 1e-4):
@@ -187,7 +216,6 @@ class Index:
                     q, a = (_share(x, inside, passage) for x in self.parts[k])
                     if q >= overlap and a >= overlap and (score, q, a) > best.get(k, (0, 0, 0)):
                         best[k] = (score, q, a)
-        return [(self.ids[k], *best[k]) for k in sorted(best)]
 
 
 def _share(part: set[tuple[str, ...]], inside: set[tuple[str, ...]], passage: list[str]) -> float:
@@ -268,10 +296,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     A text that has at least `overlap` of an item's question shingles and of its answer shingles within twice its class's
     length is a match, if it scores, at every place in the text. One that spreads them over more than 2.5
     times that length is not; between the two, the place decides. Null
-    texts and texts or items without words match nothing; items of a null id match with a null id; repeated items each
+    texts and texts or items without words match nothing; items of a null id match with a null id (ids are whole numbers, others raise TypeError); repeated items each
     match. BM25's statistics are those of all items. Rows
     stay as they are; other columns pass through, and one named matches gives way. Without items, matches is empty.
     """
+    if not isinstance(benchmark.schema["item_id"].dataType, T.IntegralType):
+        raise TypeError("item_id must be a whole number")
     rest = docs.drop("matches")
     send = rest.sparkSession.sparkContext.broadcast
     blocks = _blocks(benchmark.select(F.col("item_id").cast("bigint"), "text").where("text is not null"))

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import extras_apart, materialize
 
@@ -39,7 +40,7 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def shard_of(key: Column, shards: int) -> Column:
-    """The shard of a bigint key; a null key goes where key 0 goes."""
+    """The shard of a key that casts to bigint; a null key goes where key 0 goes."""
 
     @F.pandas_udf("int")
     def run(keys: pd.Series) -> pd.Series:
@@ -54,14 +55,16 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
 
     size is the text's UTF-8 bytes (null: none) plus 1, text_crc32 the unsigned CRC of the same bytes (null: of none).
     Within a shard, slots count from 0 without gaps in the order of id (null first), CRC and size; equal rows take
-    their slots in any order. Rows with equal ids go to one shard; the law depends on nothing else. Other columns pass
+    their slots in any order. Rows with equal ids, of any type that Spark sorts and hashes, go to one shard; the law depends on nothing else. Other columns pass
     through; ones named as a result give way. An empty table gives an empty result.
     """
     results = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     rest = [c for c in docs.columns if c != text_col and c.lower() not in results]
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     narrow = docs.select(*rest, (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    narrow = materialize(narrow.select("*", F.lit(LAW).alias("law"), shard_of(F.col(id_col), shards).alias("shard"), shard_of(F.col(id_col), shards + 1).alias("grown_shard")), "narrow")
+    # Other ids than whole numbers jump by their hash.
+    key = F.col(id_col) if isinstance(docs.schema[id_col].dataType, T.IntegralType) else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
+    narrow = materialize(narrow.select("*", F.lit(LAW).alias("law"), shard_of(key, shards).alias("shard"), shard_of(key, shards + 1).alias("grown_shard")), "narrow")
     order = [F.col(id_col).asc_nulls_first(), F.col("text_crc32"), F.col("size")]
     # Equal rows are spread over partitions, too; the number of a row in its file would do as well.
     dealt = narrow.repartitionByRange(*order, F.xxhash64(F.monotonically_increasing_id()))

@@ -1,6 +1,7 @@
 """URL filters as a sort-merge range join of canonical keys with nested prefix rules.
 
-The key of a host and path is the host's labels in reverse, each with a dot, then the path: `com.example.www./en/1`.
+The key of a host and path is the host's labels in reverse, each with a dot, a slash, which no host holds, and the path:
+`com.example.www.//en/1`. So no part of a host's key is taken for a path's.
 The rules that fit a URL are, for the host and each of its parent domains of as many labels as some rule has, the
 rules whose keys are prefixes of that domain's key with the URL's path. A rule's key is an interval of sorted keys, and
 intervals of prefixes nest. So rules and URL keys are sorted together and swept: every rule carries the stack of the
@@ -48,7 +49,7 @@ def _rule_stacks(rules: DataFrame, broadcast_rows: int) -> DataFrame:
     """
     host, path = F.translate(F.coalesce("host", F.lit("")), _UPPER, _LOWER), F.coalesce("path", F.lit(""))
     labels = F.reverse(F.split(host, "\\."))
-    named = rules.select(F.concat(F.array_join(labels, "."), F.lit("."), path).alias("key"), F.concat(F.coalesce("host", F.lit("")), path).alias("rule"), F.lower("verdict").alias("verdict"), F.size(labels).alias("labels"))
+    named = rules.select(F.concat(F.array_join(labels, "."), F.lit("./"), path).alias("key"), F.concat(F.coalesce("host", F.lit("")), path).alias("rule"), F.lower("verdict").alias("verdict"), F.size(labels).alias("labels"))
     # Of rules with equal keys a block goes before an allow.
     once = named.where("verdict in ('allow', 'block')").groupBy("key").agg(F.max(F.struct("verdict", "rule", "labels")).alias("v"))
     keyed = materialize(once.select("key", "v.rule", "v.verdict", "v.labels"), "rules")
@@ -77,7 +78,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     stacks = materialize(_rule_stacks(rules, broadcast_rows), "stacks")
     depths = sorted(r[0] for r in stacks.select("labels").distinct().collect())
     keys = F.array_compact(F.array(*[domain_key(F.col("host"), n) for n in depths])).cast("array<string>")
-    probes = read.select("_row", F.explode(keys).alias("domain"), "path").select(F.concat("domain", "path").alias("key"), "_row")
+    probes = read.select("_row", F.explode(keys).alias("domain"), "path").select(F.concat("domain", F.lit("/"), "path").alias("key"), "_row")
     kind = stacks.schema["stack"].dataType
     both = stacks.select("key", F.lit(None).cast("bigint").alias("_row"), "stack").unionByName(probes.withColumn("stack", F.lit(None).cast(kind)))
     spread = F.xxhash64("_row")
@@ -91,7 +92,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     swept = ranges.withColumn("_here", F.last("stack", ignorenulls=True).over(sweep)).where("_row is not null")
     active = swept.join(F.broadcast(taken_up), "_range", "left").select("_row", "key", F.coalesce("_here", "_before").alias("stack"))
     fits = active.select("_row", F.element_at(F.concat(F.array(F.lit(None)), F.filter("stack", lambda r: F.col("key").startswith(r["key"]))), -1).alias("r")).where("r is not null")
-    best = fits.groupBy("_row").agg(F.max(F.struct(F.length("r.rule"), F.length(F.substring_index("r.rule", "/", 1)), "r.verdict", "r.rule")).alias("best"))
+    best = fits.groupBy("_row").agg(F.max(F.struct(F.length("r.rule"), F.length(F.substring_index("r.key", "/", 1)), "r.verdict", "r.rule")).alias("best"))
     return read.join(best, "_row", "left").select(*rest, "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
 
 

@@ -7,8 +7,7 @@ from hashlib import sha256
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, pii, registry
-from millrace.llm import sharding as sd
+from millrace.llm import mixing, pii, registry, sharding
 from millrace.llm.common import join_unique, running_sums
 from tests.oracle import SF_DIR, check
 
@@ -25,22 +24,22 @@ def plain_jump(key, shards):
 def test_jump_hash_and_growth():
     keys = np.array([*range(-50, 2000), 2**63 - 1, -(2**63)], np.int64)
     for n in (1, 2, 16, 17, 1000):
-        assert sd.jump_hash(keys, n).tolist() == [plain_jump(int(k), n) for k in keys]
-    a, b = sd.jump_hash(keys, 16), sd.jump_hash(keys, 17)
+        assert sharding.jump_hash(keys, n).tolist() == [plain_jump(int(k), n) for k in keys]
+    a, b = sharding.jump_hash(keys, 16), sharding.jump_hash(keys, 17)
     assert ((a == b) | (b == 16)).all() and 0 < (a != b).mean() < 0.12
 
 
 def test_slots_sizes_and_odd_rows(spark):
     rows = [(k, f"é{k}", 1) for k in range(300)] + [(3, None, 1), (3, None, 1), (None, "", 1), (5, "x" * 50_000, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, slot int").repartition(7)
-    got = sd.shard(docs).collect()
+    got = sharding.shard(docs).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows)
     slots = defaultdict(list)
     for r in got:
         slots[r.shard].append(r.slot)
         assert (r.shard, r.grown_shard, r.law) == (plain_jump(r.doc_id or 0, 16), plain_jump(r.doc_id or 0, 17), "key")
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert sd.shard(docs.limit(0)).count() == 0
+    assert sharding.shard(docs.limit(0)).count() == 0
 
 
 def plain_targets(sizes):
@@ -122,6 +121,16 @@ def test_equal_rows_at_a_samples_end(spark):
         assert len(got) == len(rows) and abs(taken["a"] - 1650) <= 3 and taken["b"] == 1650
 
 
+def test_shards_of_ids_that_are_no_numbers(spark):
+    rows = [(f"doc{k % 40}" if k % 9 else None, f"text {k}") for k in range(200)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id string, text string"), 5).collect()
+    of = {}
+    for r in got:
+        of.setdefault(r.doc_id, set()).add((r.shard, r.grown_shard))
+    assert len(got) == 200 and all(len(x) == 1 for x in of.values()) and all(g in (s, 5) for ((s, g),) in of.values())
+    assert len({s for ((s, _),) in of.values()}) == 5
+
+
 def test_many_sources_are_summed_by_ranges(spark):
     sizes = {f"h{k}": k * k % 97 for k in range(300)} | {None: 40}
     frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")

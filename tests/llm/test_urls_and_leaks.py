@@ -1,9 +1,11 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 from contextlib import contextmanager
 
+import numpy as np
 import pytest
 
 from millrace.llm import decontaminate as dc
@@ -170,3 +172,51 @@ def test_figures_do_not_depend_on_the_blocks(spark, monkeypatch):
     assert any(score < 1 for _, _, score, _, _ in whole)
     monkeypatch.setattr(dc, "BLOCK_ITEMS", 7)
     assert figures() == whole
+
+
+def test_rules_do_not_reach_from_host_into_path(spark):
+    """A rule's path that begins like a host's label, with and without a leading slash, for hosts of several depths."""
+    listed = [("block", "com", "example./"), ("allow", "b.org", "/"), ("block", "a.b.org", "c"), ("block", "org", "b./"), ("allow", "org", "/x"), ("block", "c.org", "/x")]
+    rules = uf.rules_frame(spark, listed)
+    urls = ["http://example.com/x", "http://com/example./y", "http://comexample./x", "http://x.b.org/", "http://a.b.org/c", "http://b.org/x", "http://org/b./", "http://c.org/x", "http://d.org/xx", "http://b.org"]
+    got = {r.w: (r.rule, r.verdict) for r in uf.filter_urls(spark.createDataFrame([(u, u) for u in urls], "url string, w string"), rules).collect()}
+    for u in urls:
+        host, slash, path = u.split("://")[1].partition("/")
+        fits = [(len(h + p), len(h), v, h + p) for v, h, p in listed if (host == h or host.endswith("." + h)) and (slash + path).startswith(p)]
+        best = max(fits, default=None)
+        assert got[u] == ((best[3], best[2]) if best else (None, "allow")), u
+
+
+def test_a_text_in_pieces_has_the_same_matches():
+    rng = np.random.default_rng(4)
+    word = lambda: "w" + str(rng.integers(0, 3000))
+    items = [(k, " ".join(word() for _ in range(n)) + "\n" + " ".join(word() for _ in range(4))) for k, n in enumerate([8, 12, 20, 60, 61, 130])]
+    index = dc.Index(items)
+    for _ in range(4):
+        text = []
+        for k in rng.permutation(len(items)):
+            text += [*[word() for _ in range(int(rng.integers(0, 700)))], *items[k][1].split("\n")[0].split(), *[word() for _ in range(int(rng.integers(0, 10)))], *items[k][1].split("\n")[1].split()]
+        whole = index.matches(" ".join(text), 0.6, 0.8)
+        assert len(whole) >= 4
+        for piece in (1, 256, 500):
+            assert index.matches(" ".join(text), 0.6, 0.8, piece) == whole
+    for size in (1, 5, 1000):
+        assert [w for words in dc.token_pieces("Ab cΣ. ΣΑΣ  x\n\nΟΔΟΣ end", size) for w in words] == dc.tokens("Ab cΣ. ΣΑΣ  x\n\nΟΔΟΣ end")
+    assert dc.Index([]).matches("some text", 0.6, 0.8) == []
+
+
+def test_a_very_long_text_takes_bounded_memory():
+    index = dc.Index([(7, "an item of some words that stands\nat the end")])
+    text = "filler words of no item " * 400_000 + "an item of some words that stands at the end"
+    tracemalloc.start()
+    try:
+        assert [m[0] for m in index.matches(text, 0.6, 0.8)] == [7]
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_item_ids_must_be_numbers(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    with pytest.raises(TypeError, match="item_id"):
+        dc.find_contamination(docs, spark.createDataFrame([("a", "x")], "item_id string, text string"))
