@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import inequality, intervals, neighbors
+from millrace.operators import inequality, intervals, neighbors, sequences, series, sketches
+from millrace.operators.quantiles import exact_percentiles
 from millrace.sources.tables import table
-from millrace.storage import scratch_path
+from millrace.storage import materialize, scratch_path
 from millrace.streaming import timers
 from millrace.streaming.joins import join_within
 from millrace.streaming.upserts import UpsertTable
@@ -91,7 +92,48 @@ def upserted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.read().drop("deleted")
 
 
-QUERIES = {f.__name__: f for f in (vector_neighbors, vector_neighbors_indexed, later_cheaper_orders, cheaper_orders_of_customer, most_open_spans, merged_spans, overlapping_spans, purchases_after_clicks, silent_users, upserted_events)}
+def funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """View, then click, then purchase of a user within a day, without an error between."""
+    kind = lambda k: F.col("event_type") == k
+    steps = [kind("view"), kind("click"), kind("purchase")]
+    return sequences.funnel(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", steps, 24 * 3600, kind("error")).select("user_id", "first", "last")
+
+
+def price_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles of the prices of all lines, by flag."""
+    found = exact_percentiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.0, 0.1, 0.5, 0.9, 0.99, 1.0])
+    return found.select("l_returnflag", "percent", F.round("value", 4).alias("value"))
+
+
+def hourly_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean value of each hour by type of event, with the hours that have none filled from either side."""
+    filled = series.gap_filled(table(spark, sf_dir, "events"), ["event_type"], "ts", "value")
+    return filled.select("event_type", "at", *[F.round(c, 6).alias(c) for c in ("value", "last_value", "linear")])
+
+
+def weekly_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each week that begins on a day with events, from sketches of the days, stored once: whether the distinct users, the
+    users who both clicked and bought, those who only clicked, and the median value are near the exact ones, which are
+    given. Near: 5% of the users of the week, and a rank between 0.45 and 0.55."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "value", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"))
+    daily = materialize(sketches.sketched(events, ["day", "event_type"], "user_id", "value"), "daily")
+    week = F.explode(F.sequence(F.col("day") - F.expr("interval 6 days"), F.col("day"), F.expr("interval 1 day")))
+    first_days = F.broadcast(events.select(F.col("day").alias("week")).distinct())
+    weekly = materialize(sketches.merged(daily.withColumn("week", week).join(first_days, "week"), ["week", "event_type"]), "weekly")
+    whole = sketches.merged(weekly, ["week"]).select("week", sketches.distinct("hll").alias("users_"), sketches.quantile("kll", 0.5).alias("median_"))
+    of = lambda kind: weekly.where(F.col("event_type") == kind).select("week", F.col("theta").alias(kind))
+    sets = of("click").join(of("purchase"), "week").select("week", sketches.in_both("click", "purchase").alias("both_"), sketches.in_first_only("click", "purchase").alias("only_"))
+    estimates = materialize(whole.join(sets, "week"), "estimates")
+    rows = events.withColumn("week", week).join(F.broadcast(estimates), "week")
+    users = rows.groupBy("week", "users_", "both_", "only_", "user_id").agg(F.max((F.col("event_type") == "click").cast("int")).alias("c"), F.max((F.col("event_type") == "purchase").cast("int")).alias("p"), F.count("*").alias("n"), F.sum((F.col("value") <= F.col("median_")).cast("int")).alias("low"))
+    count = lambda c: F.sum(c.cast("long"))
+    c, p = F.col("c") == 1, F.col("p") == 1
+    exact = users.groupBy("week", "users_", "both_", "only_").agg(F.count("*").alias("users"), count(c & p).alias("both"), count(c & ~p).alias("clicked_only"), (F.sum("low") / F.sum("n")).alias("rank"))
+    near = lambda estimate, of: F.abs(F.col(estimate) - F.col(of)) <= 0.05 * F.col("users")
+    return exact.select("week", "users", "both", "clicked_only", near("users_", "users").alias("users_near"), near("both_", "both").alias("both_near"), near("only_", "clicked_only").alias("only_near"), F.col("rank").between(0.45, 0.55).alias("median_near"))
+
+
+QUERIES = {f.__name__: f for f in (vector_neighbors, vector_neighbors_indexed, later_cheaper_orders, cheaper_orders_of_customer, most_open_spans, merged_spans, overlapping_spans, purchases_after_clicks, silent_users, upserted_events, funnels, price_percentiles, hourly_values, weekly_users)}
 _SPANS = "s as (select event_id, user_id, event_type, ts as low, ts + to_minutes(floor(value)::int) as high from events)"
 _SOUND = "c as (select * from s where low < high)"
 ORACLE_SQL = {
@@ -113,4 +155,20 @@ select user_id, min(low) as low, max(high) as high from g group by user_id, no""
     "silent_users": """select user_id, min(ts) as first_ts, max(ts) as last_ts, count(*) as n_events, count(distinct event_type) as n_types from (select *, sum(new) over (partition by user_id order by ts) as no from (
   select *, case when ts <= lag(ts) over (partition by user_id order by ts) + interval 12 hours then 0 else 1 end as new from events) x) y group by user_id, no""",
     "upserted_events": """select user_id, event_type, event_id, round(value, 2) as value from (select *, row_number() over (partition by user_id, event_type order by event_id desc) as k from events) x where k = 1 and event_id % 7 <> 0""",
+    "funnels": """select c.user_id, arg_max(a.event_id, (a.ts, a.event_id)) as first, c.event_id as last from events c
+  join events b on b.user_id = c.user_id and b.event_type = 'click' and (b.ts, b.event_id) < (c.ts, c.event_id)
+  join events a on a.user_id = c.user_id and a.event_type = 'view' and (a.ts, a.event_id) < (b.ts, b.event_id) and a.ts + interval 1 day >= c.ts
+  where c.event_type = 'purchase' and not exists (select 1 from events e where e.user_id = c.user_id and e.event_type = 'error' and (e.ts, e.event_id) > (a.ts, a.event_id) and (e.ts, e.event_id) < (c.ts, c.event_id))
+  group by c.user_id, c.event_id""",
+    "price_percentiles": "select l_returnflag, p as percent, round(q, 4) as value from (select l_returnflag, unnest([0.0, 0.1, 0.5, 0.9, 0.99, 1.0]::double[]) as p, unnest(quantile_cont(l_extendedprice, [0.0, 0.1, 0.5, 0.9, 0.99, 1.0])) as q from lineitem group by l_returnflag) x",
+    "hourly_values": """with m as (select event_type, date_trunc('hour', ts)::timestamp as t, avg(value) as v from events group by 1, 2),
+s as (select event_type, unnest(generate_series(min(t), max(t), interval 1 hour)) as t from m group by event_type),
+f as (select s.event_type, s.t, m.v, last_value(case when m.v is not null then s.t end ignore nulls) over w as t0, last_value(m.v ignore nulls) over w as v0,
+  first_value(case when m.v is not null then s.t end ignore nulls) over x as t1, first_value(m.v ignore nulls) over x as v1
+  from s left join m on m.event_type = s.event_type and m.t = s.t
+  window w as (partition by s.event_type order by s.t rows between unbounded preceding and current row), x as (partition by s.event_type order by s.t rows between current row and unbounded following))
+select event_type, t as at, round(v, 6) as value, round(v0, 6) as last_value, round(coalesce(v, v0 + (v1 - v0) * (epoch(t) - epoch(t0)) / (epoch(t1) - epoch(t0))), 6) as linear from f""",
+    "weekly_users": """with d as (select distinct date_trunc('day', ts)::timestamp as week from events),
+u as (select week, user_id, max(event_type = 'click') as c, max(event_type = 'purchase') as p from d join events on ts >= week and ts < week + interval 7 days group by week, user_id)
+select week, count(*) as users, count(*) filter (c and p) as both, count(*) filter (c and not p) as clicked_only, true as users_near, true as both_near, true as only_near, true as median_near from u group by week""",
 }
