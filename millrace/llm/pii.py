@@ -19,6 +19,7 @@ joins know hot patterns and hot identifiers.
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,8 +48,9 @@ MIN_SUPPORT, MIN_CONFIDENCE = 5, 0.5
 MIN_FILL = 0.1
 #: Of the places of an identifier in all texts, so large a share at least is in sure patterns.
 MIN_SHARE = 0.5
-#: So many words and patterns are looked for in place; more by a join with all places of the texts.
-LITERALS = 10_000
+#: So many words are looked for in place by their hashes, more by a join with all places of the texts; so few, and short
+#: ones, by an expression that passes most texts by.
+LITERALS, FEW = 10_000, 24
 #: Longer patterns and identifiers are known by their MD5.
 LONG = 64
 _SPACE, _WORD = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"
@@ -109,8 +111,8 @@ def _plain(word: Column) -> Column:
 
 
 def _pattern(kind: str, before: Column, *context: Column) -> Column:
-    """A pattern, and the hash of the word that stands before its places."""
-    return F.struct(_brief(F.concat_ws(" ", F.lit(kind), *context)).alias("pattern"), F.xxhash64(before).alias("anchor"))
+    """A pattern, and the word that stands before its places."""
+    return F.struct(_brief(F.concat_ws(" ", F.lit(kind), *context)).alias("pattern"), before.alias("anchor"))
 
 
 def _patterns(last_two: Column, last: Column, after: Column) -> Column:
@@ -127,30 +129,41 @@ def _core(word: Column) -> Column:
     return F.btrim(word, F.lit(AROUND))
 
 
-def _places(texts: DataFrame, anchors: list[int] | None = None, words_: list[int] | None = None) -> DataFrame:
-    """(value, patterns) of the words in texts (text) behind a word of one of the hashes `anchors`, or that have one of the
-    hashes `words_` themselves; of all words, if neither is given. Value is the word without what is written around it."""
+def _places(texts: DataFrame, behind: list[str] | None = None, among: list[str] | None = None) -> DataFrame:
+    """(value, chars, patterns) of the words in texts (text) that stand behind one of the plain words `behind`, or that are
+    among some; of all words, if neither is given. Value is the word without what is written around it."""
+    if behind is not None or among is not None:
+        texts = texts.where(_has(F.col("text"), behind, among))
     text = F.coalesce(F.col("text"), F.lit(""))
     # Digits and case do not move words.
     split = texts.select(words(text).alias("w"), words(_plain(text)).alias("p"))
     at = lambda c, i: F.get(c, i)
-    places = F.sequence(F.lit(0), F.size("w") - 1)
-    if anchors is not None:
-        hashes = F.transform("p", lambda x: F.xxhash64(x))
-        wanted = F.filter(F.transform(hashes, lambda h, i: F.when(h.isin(anchors), i + 1)), lambda i: i.isNotNull() & (i < F.size("w")))
-    elif words_ is not None:
-        wanted = F.filter(F.transform("w", lambda x, i: F.when(F.xxhash64(_core(x)).isin(words_), i)), lambda i: i.isNotNull())
+    if behind is not None:
+        wanted = F.filter(F.transform("p", lambda x, i: F.when(x.isin(behind), i + 1)), lambda i: i.isNotNull() & (i < F.size("w")))
+    elif among is not None:
+        wanted = F.filter(F.transform("w", lambda x, i: F.when(_core(x).isin(among), i)), lambda i: i.isNotNull())
     else:
-        wanted = places
+        wanted = F.transform("w", lambda x, i: i)
     before = lambda c, i: F.when(i > 0, at(c, i - 1))
     place = lambda i: F.struct(_core(at(F.col("w"), i)).alias("value"), _patterns_of(F.when(i > 1, at(F.col("p"), i - 2)), before(F.col("p"), i), at(F.col("p"), i + 1)).alias("patterns"))
-    return split.where(F.size("w") > 0).select(F.explode(F.transform(wanted, place)).alias("x")).select(_brief(F.col("x.value")).alias("value"), F.length("x.value").alias("chars"), "x.patterns")
+    return split.select(F.explode(F.transform(wanted, place)).alias("x")).select(_brief(F.col("x.value")).alias("value"), F.length("x.value").alias("chars"), "x.patterns")
 
 
-def _hashes(df: DataFrame, column: Column, most: int) -> list[int] | None:
-    """The distinct values of a column, if they are at most so many."""
-    found = df.select(column.alias("h")).distinct().limit(most + 1).collect()
-    return [r.h for r in found] if len(found) <= most else None
+def _has(text: Column, behind: list[str] | None, among: list[str] | None) -> Column:
+    """Whether a text may hold one of few words; true if they are many."""
+    wanted = behind if behind is not None else among
+    if len(wanted) > FEW:
+        return F.lit(True)
+    # In plain words a digit stands for any number, and case does not count; others stand as they are.
+    quoted = [re.sub("0", "[0-9]++", re.escape(w)) if behind is not None else re.escape(w) for w in wanted]
+    around = re.escape(AROUND).replace("/", "\\/")
+    return text.rlike(f"(?iu)(?:^|{_SPACE})" + (f"(?:{'|'.join(quoted)})(?:{_SPACE}|$)" if behind is not None else f"[{around}]*+(?:{'|'.join(quoted)})"))
+
+
+def _listed(df: DataFrame, column: str, most: int) -> list[str] | None:
+    """The distinct values of a column, if they are at most so many and none is known by its MD5 only."""
+    found = df.select(column).distinct().limit(most + 1).collect()
+    return [r[0] for r in found] if len(found) <= most and not any(len(r[0]) > LONG or re.fullmatch("[0-9a-f]{32}", r[0]) for r in found) else None
 
 
 def _sure(edges: DataFrame, totals: DataFrame, min_support: float, min_confidence: float, min_share: float, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -208,23 +221,27 @@ def discovered_values(
         made = materialize(made, "made")
         if made.isEmpty():
             break
-        places = _places(texts, _hashes(made, F.col("anchor"), literals)).select(F.explode("patterns").alias("p")).select("p.pattern")
-        counted = _counted(places, made.select("pattern"), broadcast_rows)
-        held = materialize(made.join(counted, "pattern", "left").where(F.coalesce("places", F.lit(0)) * min_fill <= F.col("filled")).select("pattern", "anchor"), "held")
         looked = made.select("pattern") if looked is None else materialize(looked.unionByName(made.select("pattern")), "looked")
+        # First in the texts with a digit or an @: a pattern of too many places there has too many in all.
+        filled = lambda df, counted: df.join(counted, "pattern", "left").where(F.coalesce("places", F.lit(0)) * min_fill <= F.col("filled")).select(*df.columns)
+        places = _places(texts.where(F.col("text").rlike("[0-9@]")), _listed(made, "anchor", literals)).select(F.explode("patterns").alias("p")).select("p.pattern")
+        held = materialize(filled(made, _counted(places, made.select("pattern"), broadcast_rows)), "held")
         if held.isEmpty():
             break
-        # The words in the places of those that are left.
-        standing = _places(texts, _hashes(held, F.col("anchor"), literals)).select("value", "chars", F.explode("patterns").alias("p")).select("p.pattern", "p.anchor", "value", "chars")
+        # Then the words in the places of those that are left, in all texts.
+        standing = _places(texts, _listed(held, "anchor", literals)).select("value", "chars", F.explode("patterns").alias("p")).select("p.pattern", "p.anchor", "value", "chars")
         standing = _met(standing, held.select("pattern"), "pattern", broadcast_rows)
-        standing = standing.groupBy("pattern", "anchor", "value").agg(F.max("chars").alias("chars"), F.count("*").alias("n"))
-        standing = materialize(standing.join(seeds.select("value"), "value", "left_anti"), "standing")
+        standing = materialize(standing.groupBy("pattern", "anchor", "value").agg(F.max("chars").alias("chars"), F.count("*").alias("n")), "standing")
+        held = materialize(filled(held, standing.groupBy("pattern").agg(F.sum("n").alias("places"))).select("pattern"), "held")
+        if held.isEmpty():
+            break
+        standing = materialize(standing.join(held, "pattern", "left_semi").join(seeds.select("value"), "value", "left_anti"), "standing")
         more = standing.select("pattern", "value", F.lit(False).alias("ruled"), F.lit(False).alias("seed"), "chars", "n", "anchor")
         kept = edges.join(held.select("pattern"), "pattern", "left_semi") if step == 0 else edges.unionByName(_met(_seed_edges(new, seeds), held.select("pattern"), "pattern", broadcast_rows)).dropDuplicates(["pattern", "value"])
         edges = materialize(kept.unionByName(more).groupBy("pattern", "value").agg(F.max("ruled").alias("ruled"), F.max("seed").alias("seed"), F.max("chars").alias("chars"), F.max("n").alias("n"), F.min("anchor").alias("anchor")), "edges")
         # All places of the words that could be identifiers.
         able = materialize(standing.where(F.col("chars") >= ID_CHARS).select("value").distinct(), "able")
-        whole = _places(texts, words_=_hashes(able, F.xxhash64("value"), literals)) if is_small(able.limit(literals + 1), literals) and able.where(F.length("value") >= LONG).isEmpty() else _places(texts)
+        whole = _places(texts, among=_listed(able, "value", literals))
         whole = materialize(_met(whole.select("value", F.explode_outer("patterns").alias("p")), able, "value", broadcast_rows).groupBy("value", "p.pattern", "p.anchor").agg(F.count("*").alias("n")), "whole")
         fresh = whole.groupBy("value").agg(F.sum(F.when(F.col("pattern").isNull() | F.col("pattern").startswith("L1 "), F.col("n")).otherwise(0)).alias("total"))
         totals = materialize(fresh if totals is None else totals.unionByName(fresh).groupBy("value").agg(F.max("total").alias("total")), "totals")
@@ -259,9 +276,9 @@ def _occurrences(docs: DataFrame, values: DataFrame, broadcast_rows: int, litera
     """(_t, at) of the texts in docs (text), by their MD5, in which words are, without what is written around them, among
     values: an array of their start and end."""
     text, plain = F.col("text"), docs
-    hashes = _hashes(values, F.col("hash"), literals)
-    if hashes is not None:
-        plain = plain.where(F.exists(words(text), lambda x: F.xxhash64(_core(x)).isin(hashes)))
+    listed = _listed(values, "value", literals)
+    if listed is not None:
+        plain = plain.where(_has(text, None, listed)).where(F.exists(words(text), lambda x: _core(x).isin(listed)))
     # What lies before each word, and the word.
     gaps = F.split(text, f"{_WORD}++", -1)
     # Numbered before its words are apart.
@@ -315,12 +332,12 @@ def personal_data(
     values = materialize(found, "values")
     every = spans.where(ruled).select("_row", "start", "k", "end", "kind")
     if not values.isEmpty():
-        # The hash of a long value is not that of the word, but of its MD5: then every text is gone through.
-        hashed = values.withColumn("hash", F.xxhash64("value"))
-        some = 0 if not values.where(F.length("value") >= LONG // 2).where(F.col("value").rlike("^[0-9a-f]{32}$")).isEmpty() else literals
-        of_text = materialize(_occurrences(texts, hashed, broadcast_rows, some), "occurrences")
+        # Tokens in the format of a key stand among the matches; of others the places are looked for.
+        keys = spans.where(~ruled).join(values, "value", "left_semi").select("_row", "start", "end")
+        of_text = materialize(_occurrences(texts, values.join(spans.where(~ruled).select("value"), "value", "left_anti"), broadcast_rows, literals), "occurrences")
         more = join_unique(read.select("_row", "_t"), of_text, "_t", broadcast_rows).select("_row", F.explode("at").alias("s"))
-        more = more.select("_row", "s.start", F.lit(len(KINDS) - 1).alias("k"), "s.end", F.lit("id").alias("kind"))
+        more = more.select("_row", "s.start", "s.end").unionByName(keys).distinct()
+        more = more.select("_row", "start", F.lit(len(KINDS) - 1).alias("k"), "end", F.lit("id").alias("kind"))
         # An identifier is free of the rules' spans if none that begins by its start reaches beyond it and none begins inside.
         both = materialize(every.unionByName(more), "both")
         up = Window.partitionBy("_row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
