@@ -17,6 +17,8 @@ Tokens are known by their 64-bit XXH64; two that share one would be one word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import re
 from collections.abc import Iterator
@@ -38,11 +40,11 @@ END, START = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b" ")
 #: Counts up to it are discounted, as by Katz.
 MAX_DISCOUNTED = 5
 #: Tokens of a block; bytes of text of a part, of which there are MIN_PARTS at least.
-BLOCK, PART_BYTES, MIN_PARTS = 3 << 19, 10 << 20, 8
+BLOCK, PART_BYTES, MIN_PARTS = 3 << 19, 6 << 20, 8
 #: Documents of a block.
 BLOCK_DOCS = 1 << 16
 #: Places of a part that are scored at once; sums by row that a task holds.
-SEGMENT, HELD_SUMS = 1 << 17, 1 << 18
+SEGMENT, HELD_SUMS = 1 << 17, 1 << 19
 #: Bytes of a text that are split at once.
 PIECE = 1 << 20
 #: One in so many documents tells which words are frequent: those with over a quarter of a part's share of tokens.
@@ -68,6 +70,13 @@ def _written(df: DataFrame, name: str) -> DataFrame:
             conf.unset(k) if v is None else conf.set(k, v)
 
 
+def _give_back() -> None:
+    """Returns to the system what a worker has freed: a worker outlives its task, and the C library keeps freed arrays."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _pieces(text: bytes, size: int = PIECE) -> Iterator[list[bytes]]:
     """The words of a text, A to Z lower-cased, a piece of about so many bytes at a time."""
     at = 0
@@ -179,9 +188,11 @@ def _blocks(docs: DataFrame, parts: int, hot: np.ndarray, block: int) -> DataFra
                         held.docs.append((row, b.column(0)[k].as_py(), learn, n))
                     if held.tokens >= block or len(held.docs) >= BLOCK_DOCS:
                         yield held.rows()
+                        _give_back()
                 row += 1
         if held is not None and held.tokens:
             yield held.rows()
+        _give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -234,6 +245,8 @@ def _gathered(blocks: DataFrame, hot: np.ndarray, most: int) -> DataFrame:
         packed = [_pack(x.astype(k)) for x, k in zip((own, _runs(first, len(word)), history, learned, seen, rows), _ARRAYS, strict=True)]
         lists = [[x for part in table.column(n).to_pylist() for x in part] for n in ("row", "id", "learn", "n")]
         values = [table.column("part")[0].as_py(), *packed, *lists, count(cold), count(learned), [int((cold > 0).sum()), int(learned.sum())], hot_n.tolist() if hot_n.any() else []]
+        del word, history, learned, seen, rows, own, of
+        _give_back()
         types = [pa.int32(), *[pa.binary()] * 6, *[table.schema.field(n).type for n in ("row", "id", "learn", "n")], *[pa.list_(pa.int64())] * 4]
         return pa.table([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=schema.names)
 
@@ -357,6 +370,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
                 sums = [np.add.reduceat(x[known], at) for x in (n, n - stats.kept(n, stats.of_grams), p)]
                 for i in range(0, len(at), _ROWS):
                     yield pa.RecordBatch.from_arrays([pa.array(histories[known][at].view(np.int64)[i : i + _ROWS]), *[pa.array(x[i : i + _ROWS]) for x in sums]], names=["history", "total", "lost", "seen"])
+            _give_back()
 
     each = parts.select("words", "grams", "histories", "learned").mapInArrow(run, "history long, total long, lost double, seen double")
     backoffs = _written(each.groupBy("history").agg(*[F.sum(c).alias(c) for c in ("total", "lost", "seen")]), "backoffs")
@@ -442,9 +456,11 @@ def score(model: Model, broadcast_rows: int = 100_000) -> DataFrame:
                     first_gram = int(last)
                     if sums.size > HELD_SUMS:
                         sums.merge()
-                        if sums.size > HELD_SUMS // 2:
+                        if 4 * sums.size > 3 * HELD_SUMS:
                             yield from told(sums.take())
+            _give_back()
         yield from told(sums.take())
+        _give_back()
 
     arrays = ["words", "grams", "histories", "learned", "seen", "rows"]
     dealt = model.parts.select("part", *arrays).join(flags, "part", "left").select(*arrays, "undiscounted")
