@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import variants
 from millrace.operators import inequality, intervals, neighbors, sequences, series, sketches
 from millrace.operators.quantiles import exact_percentiles
+from millrace.sources import segments
 from millrace.sources.tables import table
 from millrace.storage import materialize, scratch_path
 from millrace.streaming import timers
@@ -133,8 +135,56 @@ def weekly_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.select("week", "users", "both", "clicked_only", near("users_", "users").alias("users_near"), near("both_", "both").alias("both_near"), near("only_", "clicked_only").alias("only_near"), F.col("rank").between(0.45, 0.55).alias("median_near"))
 
 
-QUERIES = {f.__name__: f for f in (vector_neighbors, vector_neighbors_indexed, later_cheaper_orders, cheaper_orders_of_customer, most_open_spans, merged_spans, overlapping_spans, purchases_after_clicks, silent_users, upserted_events, funnels, price_percentiles, hourly_values, weekly_users)}
+def segmented_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes and digests of all pages as a log of Arrow segments gives them back, to which they were added in three
+    batches, one of them twice."""
+    path = scratch_path(spark, "segments")
+    pages = table(spark, sf_dir, "pages")
+    for batch_id in (0, 1, 1, 2):
+        segments.append(pages.where(F.pmod("page_id", F.lit(3)) == batch_id), path, "page_id", batch_id)
+    return segments.read(spark, path).select("page_id", "url", F.octet_length("html").cast("long").alias("n_bytes"), F.md5("html").alias("digest"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their properties as VARIANT, of which five in six are made another type: text, a nested object, a
+    fraction, a broken document, null."""
+    k = F.regexp_extract("props", "[0-9]+", 0)
+    shapes = [F.concat(F.lit('{"k": "'), k, F.lit('"}')), F.concat(F.lit('{"k": {"n": '), k, F.lit(', "tags": ["a", '), k, F.lit("]}}")), F.concat(F.lit('{"k": '), k, F.lit(".5}")), F.concat(F.lit('{"k": '), k), F.lit('{"k": null, "u": true}')]
+    form = F.pmod("event_id", F.lit(6))
+    text = F.coalesce(*[F.when(form == n + 1, shape) for n, shape in enumerate(shapes)], F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", "event_type", variants.parsed(text).alias("v"))
+
+
+def typed_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands at paths of properties of mixed types, by its kind."""
+    v = F.col("v")
+    return _mixed(spark, sf_dir).select(
+        "event_id",
+        variants.kind(variants.at(v, "$.k")).alias("kind"),
+        variants.of_kind(v, "$.k", ("integer",), "bigint").alias("whole"),
+        variants.of_kind(v, "$.k", ("integer", "number"), "double").alias("number"),
+        variants.of_kind(v, "$.k", ("string",), "string").alias("text"),
+        variants.of_kind(v, "$.k.tags[1]", ("integer",), "bigint").alias("second_tag"),
+        variants.of_kind(v, "$.u", ("boolean",), "boolean").alias("u"),
+    )
+
+
+def property_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values of each kind stand at each path of properties of mixed types, by type of event."""
+    return variants.path_counts(_mixed(spark, sf_dir), "v", ["event_type"])
+
+
+def property_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged schema of each type of event's properties of mixed types."""
+    return _mixed(spark, sf_dir).groupBy("event_type").agg(variants.merged_schema(F.col("v")).alias("merged"))
+
+
+QUERIES = {f.__name__: f for f in (vector_neighbors, vector_neighbors_indexed, later_cheaper_orders, cheaper_orders_of_customer, most_open_spans, merged_spans, overlapping_spans, purchases_after_clicks, silent_users, upserted_events, funnels, price_percentiles, hourly_values, weekly_users, segmented_pages, typed_properties, property_paths, property_schemas)}
 _SPANS = "s as (select event_id, user_id, event_type, ts as low, ts + to_minutes(floor(value)::int) as high from events)"
+_MIXED = """m as (select event_id, event_type, case when json_valid(s) then s::json end as j from (select event_id, event_type, case event_id % 6 when 1 then '{"k": "' || k || '"}'
+  when 2 then '{"k": {"n": ' || k || ', "tags": ["a", ' || k || ']}}' when 3 then '{"k": ' || k || '.5}' when 4 then '{"k": ' || k when 5 then '{"k": null, "u": true}' else props end as s
+  from (select *, regexp_extract(props, '[0-9]+') as k from events) x) y)"""
+_KIND = "case {} when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'DOUBLE' then 'number' when 'VARCHAR' then 'string' else lower({}) end"
 _SOUND = "c as (select * from s where low < high)"
 ORACLE_SQL = {
     "vector_neighbors": """select query_id, rank, id, similarity from (select *, row_number() over (partition by query_id order by similarity desc, id) as rank from (
@@ -171,4 +221,12 @@ select event_type, t as at, round(v, 6) as value, round(v0, 6) as last_value, ro
     "weekly_users": """with d as (select distinct date_trunc('day', ts)::timestamp as week from events),
 u as (select week, user_id, max(event_type = 'click') as c, max(event_type = 'purchase') as p from d join events on ts >= week and ts < week + interval 7 days group by week, user_id)
 select week, count(*) as users, count(*) filter (c and p) as both, count(*) filter (c and not p) as clicked_only, true as users_near, true as both_near, true as only_near, true as median_near from u group by week""",
+    "segmented_pages": "select page_id, url, strlen(html)::bigint as n_bytes, md5(html) as digest from pages",
+    "typed_properties": f"""with {_MIXED}, t as (select *, {_KIND.format("json_type(j, '$.k')", "json_type(j, '$.k')")} as kind from m)
+select event_id, kind, case when kind = 'integer' then (j->>'$.k')::bigint end as whole, case when kind in ('integer', 'number') then (j->>'$.k')::double end as number,
+case when kind = 'string' then j->>'$.k' end as text, (j->>'$.k.tags[1]')::bigint as second_tag, (j->>'$.u')::boolean as u from t""",
+    "property_paths": f"""with {_MIXED} select event_type, regexp_replace(t.fullkey, '\\[[0-9]+\\]', '[*]', 'g') as path, {_KIND.format("t.type", "t.type")} as kind, count(*) as n
+from m, json_tree(m.j) t group by 1, 2, 3""",
+    "property_schemas": f"""with {_MIXED}, g as (select event_type, json_group_structure(j) as s from m where j is not null group by event_type)
+select event_type, 'OBJECT<k: ' || case s->>'$.k' when 'JSON' then 'VARIANT' when 'UBIGINT' then 'BIGINT' when 'VARCHAR' then 'STRING' end || ', u: ' || (s->>'$.u') || '>' as merged from g""",
 }
