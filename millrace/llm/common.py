@@ -102,6 +102,23 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, rows: int = BROADCA
     return left.join(met, key).unionByName(left.join(met.select(key), key, "left_anti").join(right, key))
 
 
+def left_join_unique(left: DataFrame, right: DataFrame, key: str, rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The left join of left to right, a written table whose rows have a key each, none null. Rows of a null key match nothing.
+
+    A small right side goes to all executors. Otherwise it does so for the hot keys of left, of which there are at most
+    HOT_SHARE, matched or not, and rows of a null key stay where they are: only rows of other keys are shuffled, and no
+    key's rows meet in one task. left is read once more a kind of row, and its keys twice.
+    """
+    if is_small(right, rows):
+        return left.join(F.broadcast(right), key, "left")
+    keys = left.select(key).where(F.col(key).isNotNull())
+    least = max(hot_rows, keys.count() // HOT_SHARE)
+    hot = materialize(keys.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(key), "hot")
+    met = F.broadcast(materialize(hot.join(right.join(F.broadcast(hot), key, "left_semi"), key, "left"), "hot"))
+    cold = left.where(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left_anti").join(right, key, "left")
+    return left.join(met, key).unionByName(cold).unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], by: tuple[str, ...] = (), one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """df with, for each name in sums, the sum of its expression over the rows before, within `by`; 0 for the first.
 

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BROADCAST_ROWS, broadcast_if_small, extras_apart, words
+from millrace.llm.common import BROADCAST_ROWS, HOT_ROWS, extras_apart, left_join_unique, materialize, words
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -53,17 +53,19 @@ def ngram_log_ratios(
     buckets: int = BUCKETS,
     smoothing: float = SMOOTHING,
     broadcast_rows: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> list[float]:
     """log(trusted probability / corpus probability) of each bucket, counted over all of docs.
 
     trusted holds the ids (column id_col) of trusted documents; repeats and nulls in it count once and never. Its ids
-    are broadcast up to broadcast_rows, beyond that the documents are shuffled to them. All zero if no trusted
+    are broadcast up to broadcast_rows; beyond that the hashes of documents are shuffled to them, but for those of a
+    null id or of one that more than hot_rows documents have. All zero if no trusted
     document has a word. Counts are whole numbers, so the ratios do not depend on the order of summing.
     """
-    ids = broadcast_if_small(trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct(), broadcast_rows)
+    ids = materialize(trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_trusted", F.lit(1)), "trusted")
     hashed = docs.select(F.col(id_col).alias("_id"), _word_hashes(words(F.col(text_col))).alias("_h"))
     counts = (
-        hashed.join(ids.withColumn("_trusted", F.lit(1)), "_id", "left")
+        left_join_unique(hashed, ids, "_id", broadcast_rows, hot_rows)
         .select("_trusted", F.explode(F.concat("_h", _pair_hashes(F.col("_h")))).alias("_g"))
         .select("_trusted", _bucket(F.col("_g"), buckets).alias("bucket"))
         .groupBy("bucket")

@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BROADCAST_ROWS, broadcast_if_small, materialize
+from millrace.llm.common import BROADCAST_ROWS, HOT_ROWS, left_join_unique, materialize
 
 SKIPPABLE = 0x184D2A5D
 LEVEL = 6
@@ -115,14 +115,14 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block.partition(b"\r\n\r\n")[2]
 
 
-def with_revisits(pages: DataFrame, min_bytes: int = 0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def with_revisits(pages: DataFrame, min_bytes: int = 0, broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds sha1 (hex) of the payload and refers_to: the largest page_id with that payload, null for that page itself
-    and for payloads of fewer than min_bytes bytes. Only payloads that repeat are joined."""
+    and for payloads of fewer than min_bytes bytes. Only payloads that repeat are joined, up to a checked size by
+    broadcast; beyond it that holds for the hot ones, as the empty payload, and pages with others are shuffled."""
     data = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     hashed = pages.select("page_id", "url", "html", F.sha1(data).alias("sha1"), (F.octet_length(data) >= min_bytes).alias("_large"))
     repeated = hashed.where("_large").groupBy("sha1").agg(F.max("page_id").alias("_of"), F.count("*").alias("_n")).where("_n > 1").select("sha1", "_of")
-    repeated = broadcast_if_small(materialize(repeated, "payloads"), broadcast_rows)
-    joined = hashed.join(repeated, "sha1", "left")
+    joined = left_join_unique(hashed, materialize(repeated, "payloads"), "sha1", broadcast_rows, hot_rows)
     refers = F.when(F.col("_large") & ~F.col("page_id").eqNullSafe(F.col("_of")), F.col("_of"))
     return joined.select("page_id", "url", "html", "sha1", refers.alias("refers_to"))
 

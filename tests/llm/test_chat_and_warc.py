@@ -127,6 +127,16 @@ def test_archive_round_trip():
             list(warc.read_records(io.BytesIO(w.out.getvalue()[:-3])))
 
 
+def test_revisits_of_a_hot_payload(spark):
+    rows = [(k, "" if k % 3 else f"p{k % 7}") for k in range(300)] + [(None, ""), (1000, None), (1001, "alone")]
+    pages = spark.createDataFrame(rows, "page_id long, html string").selectExpr("page_id", "'u' as url", "html").repartition(5)
+    plain = {r.page_id: r.refers_to for r in warc.with_revisits(pages).collect()}
+    found = warc.with_revisits(pages, broadcast_rows=0, hot_rows=100)
+    assert {r.page_id: r.refers_to for r in found.collect()} == plain and found.count() == len(rows)
+    last = {html or "": max(k for k, h in rows if k is not None and (h or "") == (html or "")) for _, html in rows}
+    assert plain == {k: None if last[h or ""] == k else last[h or ""] for k, h in rows}
+
+
 def test_dictionary_sample_of_whole_payloads(spark):
     pages = spark.createDataFrame([(k, "p" * (100 + k)) for k in range(50)] + [(99, "q" * 9000), (None, None)] + [(7, "same" * 40)] * 9, "page_id long, html string")
     whole = {("p" * (100 + k)).encode() for k in range(50)} | {b"", b"same" * 40}

@@ -75,3 +75,14 @@ def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(100)] + [(5, 5), (None, 1)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(100)}
+
+
+@pytest.mark.parametrize("rows", [0, 1000])
+def test_components_with_hot_centres(spark, rows):
+    """Stars around the least, a middle and the largest node, linked by one edge each; nodes of over 20 edges are hot."""
+    rng = random.Random(8)
+    edges = [(c, n) for c, nodes in ((0, range(1, 300)), (500, range(301, 700)), (1999, range(1000, 1500))) for n in nodes] + [(7, 301), (650, 1400), (3000, 3001)]
+    edges = [e if rng.random() < 0.5 else e[::-1] for e in edges] + edges[:50]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(7), rows=rows, hot_rows=20).collect()}
+    assert got == {n: 3000 if n >= 3000 else 0 for e in edges for n in e}
+    assert connected_components(spark.createDataFrame([], "a long, b long"), rows=rows).count() == 0

@@ -46,6 +46,8 @@ def test_ratios_do_not_depend_on_the_way_of_joining(spark):
     trusted = spark.createDataFrame([(i,) for i in range(1, 40, 2)] + [(1,), (None,)], "doc_id long")
     ratios = qr.ngram_log_ratios(docs, trusted, buckets=256)
     assert ratios == qr.ngram_log_ratios(docs, trusted, buckets=256, broadcast_rows=0)
+    hot = docs.union(spark.createDataFrame([(5, f"hot id {i}") for i in range(60)] + [(None, f"null id {i}") for i in range(60)] + [(1000, "hot, not trusted")] * 60, docs.schema))
+    assert qr.ngram_log_ratios(hot, trusted, buckets=256) == qr.ngram_log_ratios(hot, trusted, buckets=256, broadcast_rows=0, hot_rows=20)
     llr = {r.doc_id: r.llr for r in qr.quality_rules(docs.where("text is not null"), ratios).collect()}
     assert min(llr[i] for i in range(1, 40, 2)) > max(llr[i] for i in range(0, 40, 2))
     assert set(qr.ngram_log_ratios(docs, trusted.limit(0), buckets=16)) == {0.0}

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.llm import mixing, pii, registry, sharding
-from millrace.llm.common import join_unique, running_sums
+from millrace.llm.common import join_unique, left_join_unique, running_sums
 from tests.oracle import SF_DIR, check
 
 
@@ -163,6 +163,17 @@ def test_join_with_hot_keys(spark, tmp_path):
     plain = sorted(map(tuple, left.join(right, "k").collect()))
     for rows in (0, 1000):
         assert sorted(map(tuple, join_unique(left, right, "k", rows=rows, hot_rows=100).collect())) == plain
+    right = right.where("k is not null")
+    for side in (right, right.where("k <> 'hot'"), right.limit(0)):
+        plain = sorted(map(repr, left.join(side, "k", "left").collect()))
+        for rows in (0, 1000):
+            assert sorted(map(repr, left_join_unique(left, side, "k", rows=rows, hot_rows=100).collect())) == plain
+        # Hot and null keys are in no shuffle.
+        plan = left_join_unique(left, side, "k", rows=0, hot_rows=100)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Join") <= 4
+    structs = [F.struct(F.lit(None).cast("int").alias("i"), F.col("k")).alias("s")]
+    both = left_join_unique(left.select("v", *structs), right.select("w", *structs), "s", rows=0, hot_rows=100)
+    assert both.where("w is not null").count() == left.join(right, "k").count() and both.count() == left.count()
 
 
 def test_mix_query(spark):
