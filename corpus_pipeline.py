@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import compression_classifier, decontaminate, mixing, sharding, simhash
-from millrace.llm.common import broadcast_if_small, join_unique, materialize, table
+from millrace.llm.common import BROADCAST_ROWS, HOT_ROWS, join_unique, left_join_unique, materialize, table
 from millrace.llm.registry import held_out
 
 #: The stages score and match texts by compression and by hashes that DuckDB does not have.
@@ -28,8 +28,8 @@ def _unwrapped(wrapped: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Wrapped, with _id and a hash of the whole row: rows that agree in both are taken to be equal."""
-    return _wrapped(docs).withColumns({"_id": F.col("_rest.doc_id"), "_key": F.xxhash64("text", "_rest")})
+    """Wrapped, with _row, of _id and a hash of the whole row: rows that agree in both are taken to be equal."""
+    return _wrapped(docs).withColumn("_row", F.struct(F.col("_rest.doc_id").alias("_id"), F.xxhash64("text", "_rest").alias("_key")))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,26 +44,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one of least doc_id, null being the least, of equal rows any.
 
-    What goes is told by id and row hash: up to a checked size this is broadcast and no text is shuffled. Only rows that
-    stand there several times, equal in all columns, are shuffled to leave one."""
+    What goes is told by id and row hash: up to a checked size this is broadcast and no text is shuffled; beyond it, rows
+    equal in both that are very many are still judged where they are. Only rows that stay and stand there several times,
+    equal in all columns, are grouped to leave one, the first of each task before the shuffle."""
     keyed = _keyed(docs)
-    found = simhash.near_duplicates(keyed.select("_id", "text", "_key"), "_id")
-    rows = materialize(found.groupBy("root", "_id", "_key").agg(F.count("*").alias("_n")), "rows")
-    first = materialize(rows.groupBy("root").agg(F.min(F.struct("_id", "_key")).alias("_first")), "first")
-    judged = materialize(join_unique(rows, first, "root", simhash.NARROW_ROWS).select("_id", "_key", "_n", (F.struct("_id", "_key") == F.col("_first")).alias("_stays")), "judged")
-    same = (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i"))
-    kept = keyed.join(_side(judged.where("not _stays")), same, "left_anti")
-    repeated = judged.where("_stays and _n > 1")
-    if not repeated.isEmpty():
-        repeated = _side(repeated)
-        kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["_key", "_id"]))
+    found = simhash.near_duplicates(keyed.select("_row._id", "text", "_row"), "_id")
+    rows = materialize(found.groupBy("root", "_row").agg(F.count("*").alias("_n")), "rows")
+    first = materialize(rows.groupBy("root").agg(F.min("_row").alias("_first")), "first")
+    judged = join_unique(rows, first, "root", simhash.NARROW_ROWS).select("_row", "_n", (F.col("_row") == F.col("_first")).alias("_stays"))
+    judged = materialize(judged.where("not _stays or _n > 1"), "judged")
+    met = left_join_unique(keyed, judged.select("_row", "_stays"), "_row", BROADCAST_ROWS, HOT_ROWS)
+    kept = met.where("_stays is null")
+    if not judged.where("_stays").isEmpty():
+        kept = kept.unionByName(met.where("_stays").dropDuplicates(["_row"]))
     return _unwrapped(kept, docs)
 
 
-def _side(rows: DataFrame) -> DataFrame:
-    return broadcast_if_small(materialize(rows.select(F.col("_id").alias("_i"), F.col("_key").alias("_k")), "side"))
-
-
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark item go."""
     found = decontaminate.find_contamination(_wrapped(docs), table(spark, sf_dir, "benchmark"))
