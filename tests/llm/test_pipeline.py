@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate as dc
 from millrace.llm.common import table
@@ -47,11 +48,17 @@ def test_stages_against_brute_force(spark):
     assert all(r.shard == plain_jump(r.doc_id, 16) for r in sharded)
 
 
-def test_near_duplicate_stage_with_repeats_and_nulls(spark):
+def test_near_duplicate_stage_with_repeats_and_nulls(spark, monkeypatch):
     rows = [(1, "a b c d e", "en", "s", 9), (1, "a b c d e", "en", "s", 9), (2, "A b c d e", "en", "s", 9), (None, "x y", "en", None, 3), (3, None, None, None, None), (4, "", "en", "s", 0)]
     docs = spark.createDataFrame(rows, table(spark, SF_DIR, "documents").schema)
     got = corpus_pipeline.near_duplicates(spark, docs, SF_DIR).collect()
     assert sorted((r.doc_id or -1) for r in got) == [-1, 1, 3]
+    # The same where nothing may be broadcast and rows that repeat are hot.
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(corpus_pipeline, "HOT_ROWS", 20)
+    many = docs.unionByName(docs.where("doc_id = 2 or doc_id is null or doc_id = 3").withColumn("_x", F.explode(F.sequence(F.lit(1), F.lit(30)))).drop("_x"))
+    again = corpus_pipeline.near_duplicates(spark, many, SF_DIR).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
     assert corpus_pipeline.mix(spark, docs, SF_DIR).count() <= 3 * len(rows)
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), SF_DIR).count() == 0
     assert dc.tokens("A b") == ["a", "b"]
