@@ -2,8 +2,9 @@
 
 Rows lie in blocks of bounded size within their cell; queries are gathered in blocks for each cell that they probe, and
 meet the cell's blocks one pair of blocks a row. A pair is one matrix product, of which each query keeps its best few. So
-no pairs of vectors are made, and a cell of a third of all rows is spread over its blocks. The exact search is the same
-with a single cell.
+no pairs of vectors are made, and a cell of a third of all rows is spread over its blocks. A cell's blocks are in GROUPS
+groups at most, and queries are sent once to each: what is shuffled grows as the input, and none of it goes through the
+driver. The exact search is the same with a single cell.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from millrace.storage import materialize
 
 #: Rows of a block, about; rows of a product that are looked through at once.
 BLOCK, SLICE = 2048, 256
+#: In so many groups a cell's blocks are joined at most.
+GROUPS = 64
 #: Centroids are fitted on so many rows at most, those of the least hashes, in so many rounds.
 SAMPLE, ROUNDS = 65_536, 10
 MOST_CELLS = 16_384
@@ -151,8 +154,11 @@ def search(queries: DataFrame, index: Index, k: int = 10, probes: int = 0, id_co
     asked = own.join(F.broadcast(index.cells), "cell")
     per_cell = F.broadcast(materialize(asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n")), "asked"))
     gathered = asked.join(per_cell, "cell").groupBy("cell", "n_blocks", F.pmod(F.xxhash64("id"), F.col("_n")).alias("_q")).agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
-    # Each block of queries goes to each block of the cell.
-    met = gathered.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).join(index.blocks, ["cell", "block"]).select("queries", "of")
+    # Each block of queries goes to each group of the cell's blocks. Either side is as large as its table or larger, but
+    # shrinks when written, so that without a hint it may be broadcast.
+    sent = gathered.withColumn("_group", F.explode(F.sequence(F.lit(0), F.least(F.col("n_blocks"), F.lit(GROUPS)) - 1)))
+    grouped = index.blocks.withColumn("_group", F.pmod("block", F.lit(GROUPS)))
+    met = sent.join(grouped.hint("merge"), ["cell", "_group"]).select("queries", "of")
     kind, dimensions = index.blocks.schema["of"].dataType.elementType["id"].dataType, index.dimensions
     out = T.StructType().add("query_id", kind).add("id", kind).add("similarity", T.DoubleType())
 

@@ -46,6 +46,21 @@ def test_exact_search(spark, vectors, block, monkeypatch):
     assert got == {q: [(i, pytest.approx(s, abs=2e-6)) for i, s in best] for q, best in _nearest(vectors, 4).items()}
 
 
+def test_blocks_are_not_broadcast_and_queries_are_sent_once_to_a_group(spark, vectors, monkeypatch):
+    monkeypatch.setattr(neighbors, "GROUPS", 3)
+    monkeypatch.setattr(neighbors, "BLOCK", 40)
+    df = spark.createDataFrame([(i, v, 0) for i, v in vectors], VECTORS).where("vec_id < 902")
+    index = neighbors.build_index(df, block=7)
+    found = neighbors.search(df, index, 4)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.similarity))
+    assert index.blocks.count() > 40 and got == {q: [(i, pytest.approx(s, abs=2e-6)) for i, s in best] for q, best in _nearest(vectors, 4).items()}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # What is broadcast are the numbers of blocks.
+    assert "SortMergeJoin" in plan and plan.count(" BroadcastExchange") == 2
+
+
 def test_index_finds_nine_in_ten(spark):
     """Of the tables of the driver; their vectors lie in no clusters, so that most cells must be looked into."""
     for folder in ("sf0.001", "sf0.1"):
