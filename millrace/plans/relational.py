@@ -107,7 +107,9 @@ def status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def approximate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact distinct counts, and whether the approximate ones are within a tenth of them (a standard error of 2%)."""
-    found = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("approx"), F.count_distinct("l_partkey").alias("exact"))
+    # Beside a distinct count, Spark holds and shuffles a sketch for each distinct pair; of the pairs, the sketch is the same.
+    pairs = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_partkey").distinct()
+    found = pairs.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("approx"), F.count("l_partkey").alias("exact"))
     return found.select("l_returnflag", "exact", (F.abs(F.col("approx") - F.col("exact")) <= 0.1 * F.col("exact")).alias("near"))
 
 

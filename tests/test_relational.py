@@ -20,6 +20,15 @@ def test_against_duckdb(spark, name):
     assert oracle.check(spark, registry.QUERIES[name], registry.ORACLE_SQL[name]) > 0
 
 
+def test_distinct_counts_hold_no_sketch_for_each_pair(spark, tmp_path):
+    rows = [(f, p) for f in ("A", "N", None) for p in (1, 1, 2, None)] + [("R", None)]
+    spark.createDataFrame(rows, "l_returnflag string, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = registry.QUERIES["approximate_distinct"](spark, str(tmp_path))
+    assert {tuple(r) for r in df.collect()} == {("A", 2, True), ("N", 2, True), (None, 2, True), ("R", 0, True)}
+    keys = [line.split("keys=[")[1].split("]")[0] for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate(keys" in line and "approx_count_distinct" in line]
+    assert keys and not any("l_partkey" in k for k in keys)
+
+
 def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
