@@ -116,6 +116,28 @@ def test_inequalities_against_all_pairs(spark, first, second, keyed):
         assert Counter((r.i, r.j) for r in found.collect()) == pairs and found.columns == [*a.columns, "u", "v.w", "j"]
 
 
+def test_counts_write_each_row_twice(spark, monkeypatch):
+    written, write = [], inequality.materialize
+    monkeypatch.setattr(inequality, "materialize", lambda df, name: written.append(write(df, name)) or written[-1])
+    n = 2000
+    df = spark.range(n).selectExpr("id", "pmod(xxhash64(id), 700) as x", "pmod(xxhash64(id, 1), 900) as y")
+    got = {r.id: r.n for r in inequality.inequality_counts(df, df, ("x", "<", "x"), ("y", ">", "y"), None, "n", 500, 0, 0).collect()}
+    ids, x, y = (np.array(c) for c in zip(*df.collect(), strict=True))
+    assert got == dict(zip(ids.tolist(), ((x[:, None] < x) & (y[:, None] > y)).sum(axis=1).tolist(), strict=True))
+    assert sum(w.count() for w in written) == 2 * 2 * n
+
+
+def test_counts_with_more_partitions_than_asked_for(spark, monkeypatch):
+    ordered = inequality._ordered
+    monkeypatch.setattr(inequality, "_ordered", lambda df, order, chunks: ordered(df, order, 7))
+    df = spark.range(100).selectExpr("id", "pmod(xxhash64(id), 30) as x", "pmod(xxhash64(id, 1), 40) as y", "id % 3 as k")
+    rows = df.collect()
+    for few in (0, 100_000):
+        for by in (None, ["k"]):
+            got = {r.id: r.n for r in inequality.inequality_counts(df, df, ("x", "<", "x"), ("y", ">", "y"), by, "n", 50, few).collect()}
+            assert got == {a.id: sum(a.x < b.x and a.y > b.y and (by is None or a.k == b.k) for b in rows) for a in rows}
+
+
 def test_inequalities_of_empty_sides(spark):
     a, none = spark.createDataFrame([(1, 2)], "x int, y int"), spark.createDataFrame([], "u int, v int")
     assert [tuple(r) for r in inequality.inequality_counts(a, none, ("x", "<", "u"), ("y", "<", "v")).collect()] == [(1, 2, 0)]
